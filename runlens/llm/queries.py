@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, htmltext, packing, sharding, simhash, urlfilter
+from . import decontam, embeddings, htmltext, packing, sharding, simhash, toxicity, urlfilter
 from .common import table
 
 
@@ -16,6 +16,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, words=1, distance=3, chain=None)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -44,7 +55,7 @@ def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_simhash, op5_sharding, op6_embeddings, op8_urlfilter, op10_htmltext)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontam, op4_simhash, op5_sharding, op6_embeddings, op8_urlfilter, op10_htmltext)}
 
 ORACLE_SQL = {
     "op8_urlfilter": r"""

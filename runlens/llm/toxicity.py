@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if n_bad and n_good:
         tested = sample.mapInArrow(count, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         p, q = F.col("bad") / n_bad, F.col("good") / n_good
-        least = max(5, math.ceil(0.004 * n_bad))
+        least = max(5, math.ceil(0.02 * n_bad))  # more than copies of one text reach
         strong = tested.where((F.col("bad") >= least) & (F.col("bad") >= min_precision * (F.col("bad") + F.col("good"))) & (p > 4 * q))
         gain = F.col("bad") * F.log((F.col("bad") + 0.5) / n_bad / ((F.col("good") + 0.5) / n_good))
         lexicon = {r[0]: i for i, r in enumerate(strong.orderBy(gain.desc(), F.length("f").desc(), "f").limit(max_entries).select("f").collect())}

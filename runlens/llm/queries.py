@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, htmltext, packing, sharding, simhash, toxicity, urlfilter
+from . import decontam, embeddings, htmltext, packing, sharding, simhash, suffix, toxicity, urlfilter
 from .common import table
 
 
@@ -50,12 +50,17 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200, keep="none")
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontam, op4_simhash, op5_sharding, op6_embeddings, op8_urlfilter, op10_htmltext)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontam, op4_simhash, op5_sharding, op6_embeddings, op8_urlfilter, op9_suffix, op10_htmltext)}
 
 ORACLE_SQL = {
     "op8_urlfilter": r"""

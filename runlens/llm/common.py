@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
+_WRITTEN: dict[str, list[str]] = {}
+_OWNER = [""]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,15 +31,25 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.setdefault(_OWNER[-1], []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what ``materialize`` has written so far. Call it only when no frame built on it is still to be read."""
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """What is materialised inside belongs to ``owner``, and goes when ``release`` is called for it."""
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete what was written for ``owner``. Call it only when no frame built on it is still to be read."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for written in _WRITTEN.pop(owner, []):
+        path = jvm.org.apache.hadoop.fs.Path(written)
         path.getFileSystem(conf).delete(path, True)
 
 

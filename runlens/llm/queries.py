@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, htmltext, packing, sharding, simhash, suffix, toxicity, urlfilter
+from . import chat, decontam, embeddings, htmltext, packing, sharding, simhash, suffix, toxicity, urlfilter
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 #: host, path, verdict
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -60,7 +64,7 @@ def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontam, op4_simhash, op5_sharding, op6_embeddings, op8_urlfilter, op9_suffix, op10_htmltext)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontam, op4_simhash, op5_sharding, op6_embeddings, op7_chat, op8_urlfilter, op9_suffix, op10_htmltext)}
 
 ORACLE_SQL = {
     "op8_urlfilter": r"""

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def normal(text: str | None) -> str:
@@ -132,8 +134,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
         return rows.mapInArrow(run, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     batch_type = to_arrow_type(item_type)
     found, chunk, size = [], [], 0
     for r in benchmark.select(item_id, F.col(item_text).cast("string")).toLocalIterator():
@@ -163,7 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min
 
 
 def _marked(docs: DataFrame, benchmark: DataFrame, rate: float, min_chars: int, text_col: str, flag: str, item_text: str = "text", chunk_chars: int = 4_000_000) -> DataFrame:
-    schema = docs.schema.add(flag, "boolean")
+    schema = T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())])
 
     def mark(frame: DataFrame, items: list[tuple[object, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

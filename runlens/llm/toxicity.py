@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
@@ -260,7 +261,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     Rows are independent: repeated rows score alike, an empty table gives no rows; other columns stay.
     """
     keep = [c for c in docs.columns if c != out]
-    schema = docs.select(*keep).schema.add(out, "double")
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(model)

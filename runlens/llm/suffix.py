@@ -24,8 +24,8 @@ from .common import materialize
 _PIECE = 1 << 20  # bytes hashed at once; positions in a piece fit in the low bits of a value
 _LOW = np.uint64(_PIECE - 1)
 _FACTOR = 0x9E3779B97F4A7C15 | 1
-#: Groups with more contexts than this count windows by hash, combined before the shuffle.
-HOT = 256
+#: A group with more contexts than this (about 300 bytes each) is too much for one task: its windows are counted by hash, combined before the shuffle.
+HOT = 8192
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     padded[:n] = data
 
     def ranked(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.zeros(n, dtype=np.int64)
         new[1:] = key[order][1:] != key[order][:-1]
         out = np.empty(n, dtype=np.int64)
@@ -152,7 +152,7 @@ def earlier_matches(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np
     reaches the depth exactly if one of them lies in the run, that is, if the suffix is not the
     least place of its run.
     """
-    order = np.lexsort((place, rank))
+    order = np.argsort(rank * (int(place.max(initial=0)) + 1) + place)
     run = np.ones(len(rank), dtype=bool)
     run[1:] = rank[order][1:] != rank[order][:-1]
     first = np.flatnonzero(run)
@@ -183,8 +183,8 @@ def _anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted contexts ``(id, t1, t2, pk, g, c)``, each cut from the document that has them."""
-    lists = wanted.groupBy("t1", "t2", "id").agg(F.collect_list(F.struct("pk", "g", "c")).alias("w"))
+    """Bytes of the wanted contexts ``(id, t1, t2, pk, g, c, m)``, each cut from the document that has them."""
+    lists = wanted.groupBy("t1", "t2", "id").agg(F.collect_list(F.struct("pk", "g", "c", "m")).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,9 +199,9 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             stop = begin + (pk & 255) + length
             for a in range(0, len(pk), 20_000):
                 z = slice(a, a + 20_000)
-                yield pa.RecordBatch.from_arrays([flat.field("g")[z], flat.field("c")[z], batch.column("id").take(pa.array(owner[z])), flat.field("pk")[z], pa.array([bytes(data[x:y]) for x, y in zip(begin[z], stop[z], strict=True)], pa.binary())], names=["g", "c", "id", "pk", "bytes"])
+                yield pa.RecordBatch.from_arrays([flat.field("g")[z], flat.field("c")[z], batch.column("id").take(pa.array(owner[z])), flat.field("pk")[z], flat.field("m")[z], pa.array([bytes(data[x:y]) for x, y in zip(begin[z], stop[z], strict=True)], pa.binary())], names=["g", "c", "id", "pk", "m", "bytes"])
 
-    return docs.join(lists, ["t1", "t2", "id"]).select("id", "text", "w").mapInArrow(run, "g long, c long, id long, pk long, bytes binary")
+    return docs.join(lists, ["t1", "t2", "id"]).select("id", "text", "w").mapInArrow(run, "g long, c long, id long, pk long, m long, bytes binary")
 
 
 def _masks_by_suffixes(contexts: DataFrame, length: int) -> DataFrame:
@@ -209,6 +209,12 @@ def _masks_by_suffixes(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in whole_runs(batches, ["g"], 4096):
+            c, g = t.column("c").to_numpy(), t.column("g").to_numpy()
+            by = np.lexsort((c, g))  # rows that share id and text have cut the same context
+            again = np.zeros(len(c), dtype=bool)
+            again[by[1:]] = (c[by][1:] == c[by][:-1]) & (g[by][1:] == g[by][:-1])
+            if again.any():
+                t = t.filter(pa.array(~again)).combine_chunks()
             parts = t.column("bytes").to_pylist()
             size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
             begin = np.cumsum(size) - size
@@ -277,7 +283,7 @@ def repeats(docs: DataFrame, length: int, gram: int) -> DataFrame:
     mixed = contexts.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
     wanted = contexts.join(mixed, "g").select("g", "c", "m", "rep.t1", "rep.t2", "rep.pk", F.col("rep.own").alias("id"))
     wanted = materialize(wanted, "wanted")
-    found = materialize(_contexts(docs, wanted, length).join(wanted.select("g", "c", "m"), ["g", "c"]).dropDuplicates(["g", "c"]), "context-bytes")
+    found = materialize(_contexts(docs, wanted, length), "context-bytes")
     masks = _masks_by_suffixes(found.where(F.col("m") <= HOT), length).union(_masks_by_counts(found.where(F.col("m") > HOT).select("g", "c", "id", "pk", "bytes"), length))
     known = contexts.join(masks, ["g", "c"], "left").where("n > 1 or repeated is not null")
     marked = places.select("g", "c", "t1", "t2", "pk", "id").join(known, ["g", "c"])

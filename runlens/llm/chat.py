@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import whole_runs
-from .common import materialize
+from .common import lean, materialize
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")
@@ -142,6 +142,7 @@ def repair(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     rows = rows.withColumn("tie", F.xxhash64("role", "text", F.monotonically_increasing_id()))
     placed = rows.repartitionByRange("conv", "turn", "role", "text", "tie").sortWithinPartitions("conv", "turn", "role", "text").drop("tie")
 
+    @lean
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 40
         at, blk, inside, conv, roles = 0, 0, 0, None, []
@@ -182,6 +183,7 @@ def repair(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     sizes = numbered.groupBy("blk").agg(F.count("*").alias("n"))
     ends = ends.join(sizes, "blk").withColumn("key", F.xxhash64("conv"))
 
+    @lean
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_runs(batches, ["key"]):
             cells = np.frombuffer(b"".join(t.column("cell").to_pylist()), "<i8").reshape(-1, 4, 4)
@@ -208,6 +210,7 @@ def repair(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     known = ends.repartition("key").sortWithinPartitions("key", "blk").select("key", "conv", "blk", "cell", "n").mapInArrow(chain, "blk long, entry int, leave int, before long")
     joined = numbered.drop("cell").join(known, "blk").repartition("blk").sortWithinPartitions("blk", "seq")
 
+    @lean
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_runs(batches, ["blk"], 4096):
             names, texts = t.column("role").to_pylist(), t.column("text").to_pylist()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import lean, text_batches
+
 
 def normal(text: str | None) -> str:
     """Lower case, white space runs as one space, trimmed."""
@@ -114,11 +116,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     never shuffled. Items under ``min_chars`` characters, empty or null ones match nothing.
     Repeated items and documents give repeated rows; a document without a match gives none.
     """
+    text_batches(docs.sparkSession)
     id_type, item_type = docs.schema[id_col].dataType, benchmark.schema[item_id].dataType
     schema = f"id {id_type.simpleString()}, item {item_type.simpleString()}, distance int, start long, end long"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def search(items: list[tuple[object, str]]) -> DataFrame:
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, rate)
             for batch in batches:
@@ -163,9 +167,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min
 
 
 def _marked(docs: DataFrame, benchmark: DataFrame, rate: float, min_chars: int, text_col: str, flag: str, item_text: str = "text", chunk_chars: int = 4_000_000) -> DataFrame:
+    text_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())])
 
     def mark(frame: DataFrame, items: list[tuple[object, str]]) -> DataFrame:
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, rate)
             for batch in batches:

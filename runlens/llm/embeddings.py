@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, pairs_of_runs, whole_runs
-from .common import materialize
+from .common import lean, materialize
 from .graph import components, local_components
 
 #: Pivots are chosen from at most this many vectors, those of the lowest id hashes.
@@ -22,6 +22,7 @@ def _prepare(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, node, unit): ``unit`` is the vector at length 1 as little-endian doubles, null if it can't be compared."""
     id_type = vectors.schema[id_col].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -92,6 +93,7 @@ def _search(classes: DataFrame, pivots: np.ndarray, threshold: float, prefix: in
     first, second = np.triu_indices(prefix, 1) if prefix > 1 else (np.zeros(1, int), np.zeros(1, int))
     dim = pivots.shape[1]
 
+    @lean
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -104,6 +106,7 @@ def _search(classes: DataFrame, pivots: np.ndarray, threshold: float, prefix: in
                 own = pa.array([r.astype("<i4").tobytes() for r in near], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(part.column(c).take(rows) for c in ("node", "n", "unit")), own.take(rows)], names=["k", "node", "n", "unit", "pivots"])
 
+    @lean
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_runs(batches, ["k", "bi", "bj"], 4096):
             n = t.num_rows

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean, text_batches
+
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul br".split())
 _DROPPED = frozenset("head script style noscript template iframe object svg canvas audio video nav footer aside form button select option textarea input dialog menu".split())
@@ -154,9 +156,11 @@ def extract_text(html: str | None, sigma: float = 1.0, strength: float = 0.5, sh
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text of each in ``out`` in place of ``html_col``; other columns stay, and rows are independent."""
+    text_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c not in (html_col, out)]
     schema = T.StructType([*pages.select(*keep).schema.fields, T.StructField(out, T.StringType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = pa.array([extract_text(h.as_py()) for h in batch.column("__html")], type=pa.string())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, text_batches
+
 #: White space on which no token of the vocabulary reaches over; the tokenizer drops it.
 _SPACE = r"[ \t\n\r\x0b\x0c]+"
 
@@ -22,28 +25,38 @@ class WordEncoder:
     are the ids of its words in order; each distinct word is encoded once and remembered.
     """
 
-    def __init__(self, tokenizer_path: str, remember: int = 200_000):
+    def __init__(self, tokenizer_path: str, remember: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.known: dict[str, np.ndarray] = {}
         self.remember = remember
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _numbers(self, vocabulary: list[str]) -> np.ndarray:
+        """Where each word's ids stand in ``starts`` and ``sizes``."""
+        if len(self.known) + len(vocabulary) > self.remember:
+            self._forget()
+        new = [w for w in vocabulary if w not in self.known]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes.sum()))])
+        return np.fromiter((self.known[w] for w in vocabulary), dtype=np.int64, count=len(vocabulary))
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each closed by ``end_id``; and where each text ends."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         words = pc.split_pattern_regex(texts, _SPACE)
-        flat = words.flatten()
-        coded = flat.dictionary_encode()
-        vocabulary = coded.dictionary.to_pylist()
-        new = [w for w in vocabulary if w not in self.known]
-        ids_of = dict(zip(new, (np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        each = [ids_of[w] if w in ids_of else self.known[w] for w in vocabulary]
-        if len(self.known) + len(ids_of) <= self.remember:
-            self.known |= ids_of
-        sizes = np.array([len(x) for x in each], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else sizes
-        pool = np.concatenate(each) if each else np.zeros(0, np.uint32)
+        coded = words.flatten().dictionary_encode()
+        number = self._numbers(coded.dictionary.to_pylist())
+        sizes, starts, pool = self.sizes[number], self.starts[number], self.pool
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         long = sizes[at]
         # gather the ids of all words, then make room for the end id of each text
@@ -116,8 +129,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     little-endian unsigned 32-bit). Null and empty texts are one end id. Repeated rows and ids
     are packed as often as they come. An empty table gives no rows. Other columns are dropped.
     """
+    text_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordEncoder(tokenizer_path)
         base, held, n_held = TaskContext.get().partitionId() << 36, [], 0

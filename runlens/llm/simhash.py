@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, pairs_of_runs, whole_runs
-from .common import materialize
+from .common import lean, materialize, text_batches
 from .graph import components, local_components
 
 _LANES = np.uint64(0x0101010101010101)
@@ -66,8 +66,10 @@ def fingerprint(text: str | None, shingle: int, words: int, seed: int = 42, chun
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
     """``(id_col, fp binary)`` for every row; null and empty texts have the zero fingerprint. Other columns are dropped."""
+    text_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py(), shingle, words) for t in batch.column(1)], type=pa.binary())], names=["id", "fp"])
@@ -93,6 +95,7 @@ def links(fps: DataFrame, words: int, distance: int, chain: int | None = None, b
     m = words * 64 // _SEGMENT
     chain = min(chain or m, m)
 
+    @lean
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -105,6 +108,7 @@ def links(fps: DataFrame, words: int, distance: int, chain: int | None = None, b
                 part = at.slice(a, 1 << 16)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()[a : a + (1 << 16)]), batch.column("node").take(part), batch.column("fp").take(part)], names=["k", "node", "fp"])
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_runs(batches, ["k", "bi", "bj"]):
             n = t.num_rows

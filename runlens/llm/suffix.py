@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import whole_runs
-from .common import materialize
+from .common import lean, materialize, text_batches
 
 _PIECE = 1 << 20  # bytes hashed at once; positions in a piece fit in the low bits of a value
 _LOW = np.uint64(_PIECE - 1)
@@ -165,6 +165,7 @@ def earlier_matches(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
@@ -186,6 +187,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Bytes of the wanted contexts ``(id, t1, t2, pk, g, c, m)``, each cut from the document that has them."""
     lists = wanted.groupBy("t1", "t2", "id").agg(F.collect_list(F.struct("pk", "g", "c", "m")).alias("w"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = batch.column("w")
@@ -207,6 +209,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def _masks_by_suffixes(contexts: DataFrame, length: int) -> DataFrame:
     """(g, c, repeated, later): a bit per window of each context, by the suffix order of the group's contexts."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in whole_runs(batches, ["g"], 4096):
             c, g = t.column("c").to_numpy(), t.column("g").to_numpy()
@@ -239,6 +242,7 @@ def _masks_by_suffixes(contexts: DataFrame, length: int) -> DataFrame:
 def _masks_by_counts(contexts: DataFrame, length: int) -> DataFrame:
     """The same for hot groups: equal windows are found by hash and counted with sums made before the shuffle."""
 
+    @lean
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, inverse = _tables()
         for batch in batches:
@@ -250,6 +254,7 @@ def _masks_by_counts(contexts: DataFrame, length: int) -> DataFrame:
                 start = (pk >> 16) - (pk >> 8 & 255)
                 yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(x)[i].as_py()] * n, pa.int64()) for x in ("g", "c", "id")), pa.array(np.arange(start, start + n)), pa.array(np.arange(n)), pa.array(_mix((p[length:] - p[:n]) * inverse[:n]).view(np.int64))], names=["g", "c", "id", "at", "k", "h"])
 
+    @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[bytes]] = [[], []]
@@ -305,6 +310,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if keep not in ("first", "none") or not gram < length < 256 + gram:
         raise ValueError("keep is first or none, and gram < length < gram + 256")
+    text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = docs.drop("kept", "n_bytes", "n_removed", "spans")
     keyed = named.withColumn("__text", text).withColumn("t1", F.xxhash64("__text")).withColumn("t2", F.xxhash64(F.lit("second"), "__text"))
@@ -317,6 +323,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("__row", named.schema), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]

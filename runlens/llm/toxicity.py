@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import lean, materialize, text_batches
 
 _WORD = re.compile(r"\w+")
 #: Patterns that vote beside the lexicon; all are language-free or common abuse phrasing.
@@ -60,29 +60,35 @@ class Model:
 class Voters:
     """Votes and classifier inputs of whole texts."""
 
-    def __init__(self, model: Model, remember: int = 500_000):
-        self.model, self.known, self.remember = model, {}, remember
+    def __init__(self, model: Model):
+        self.model = model
         self.compiled = [PATTERNS[p] for p in model.patterns]
+        self.whole: dict[str, int] = {}
+        begins: dict[int, dict[str, int]] = {}
+        ends: dict[int, dict[str, int]] = {}
+        for f, i in model.lexicon.items():
+            {"=": self.whole, "^": begins.setdefault(len(f) - 1, {}), "$": ends.setdefault(len(f) - 1, {})}[f[0]][f[1:]] = i
+        self.begins, self.ends = ([(n, d) for n, d in x.items() if d] for x in (begins, ends))
 
     def hits(self, text: str | None) -> tuple[np.ndarray, int, int, np.ndarray]:
         """Which voters fire; hits of lexicon entries in all; number of words; hits of each entry, up to 255."""
-        lexicon, known = self.model.lexicon, self.known
         out = np.zeros(self.model.n_voters, dtype=np.int8)
-        each = np.zeros(len(lexicon), dtype=np.int64)
+        each = np.zeros(len(self.model.lexicon), dtype=np.int64)
         words = _WORD.findall((text or "").lower())
         counts = Counter(words)
-        for w, n in counts.items():
-            at = known.get(w)
-            if at is None:
-                at = tuple(lexicon[f] for f in features_of(w) if f in lexicon)
-                if len(known) < self.remember:
-                    known[w] = at
-            if at:
-                for i in at:
-                    each[i] += n
+        for w in counts.keys() & self.whole.keys():
+            each[self.whole[w]] += counts[w]
+        for n, entries in self.begins:
+            for w, k in counts.items():
+                if (i := entries.get(w[:n])) is not None and len(w) > n:
+                    each[i] += k
+        for n, entries in self.ends:
+            for w, k in counts.items():
+                if (i := entries.get(w[-n:])) is not None and len(w) > n:
+                    each[i] += k
         np.minimum(each, 255, out=each)
-        out[: len(lexicon)] = each > 0
-        for i, p in enumerate(self.compiled, len(lexicon)):
+        out[: len(each)] = each > 0
+        for i, p in enumerate(self.compiled, len(each)):
             if text and p.search(text):
                 out[i] = 1
         return out, int(each.sum()), len(words), each.astype(np.uint8)
@@ -186,10 +192,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sees only votes and gives each row a posterior; the linear classifier learns those. Nothing
     else of a row is used. Without usable labels the scorer has pattern voters only.
     """
+    text_batches(docs.sparkSession)
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
     sample = materialize(docs.select(id_col, F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), id_col).select("__text", "__y"), "labelled")
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
 
@@ -217,6 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         lexicon = {r[0]: i for i, r in enumerate(strong.orderBy(gain.desc(), F.length("f").desc(), "f").limit(max_entries).select("f").collect())}
     proposed = Model(lexicon, list(PATTERNS))
 
+    @lean
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(proposed)
         for batch in batches:
@@ -260,9 +269,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
     Rows are independent: repeated rows score alike, an empty table gives no rows; other columns stay.
     """
+    text_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != out]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out, T.DoubleType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(model)
         at = keep.index(text_col)

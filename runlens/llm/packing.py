@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,22 +15,33 @@ from pyspark.sql import functions as F
 
 from .common import lean, text_batches
 
-#: White space on which no token of the vocabulary reaches over; the tokenizer drops it.
-_SPACE = r"[ \t\n\r\x0b\x0c]+"
+#: Words of Latin-1 letters and ASCII marks after them: to the tokenizer a token of letters and one of marks, already composed.
+_PLAIN = "^(?P<core>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
+#: Bytes of text that are encoded together.
+_AT_ONCE = 8_000_000
+
+
+def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of stretches [start, start + size), one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 class WordEncoder:
     """Token ids of whole texts, by way of their distinct white-space-free words.
 
     The vocabulary's pre-tokeniser never joins characters over white space, so ids of a text
-    are the ids of its words in order; each distinct word is encoded once and remembered.
+    are the ids of its words in order; each distinct word is encoded once and remembered. Plain
+    words are looked up as letters in lower case and marks, which is what the tokenizer's own
+    normaliser and splitter make of them; all others pass through it whole.
     """
 
-    def __init__(self, tokenizer_path: str, remember: int = 400_000):
+    def __init__(self, tokenizer_path: str, remember: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer, self.letters = Tokenizer.from_file(tokenizer_path), Tokenizer.from_file(tokenizer_path)
+        self.letters.normalizer, self.letters.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.remember = remember
         self._forget()
 
@@ -37,32 +49,51 @@ class WordEncoder:
         self.known: dict[str, int] = {}
         self.pool, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has."""
+        split = pc.extract_regex(pa.array(words, pa.string()), _PLAIN)
+        plain = split.is_valid().to_numpy(zero_copy_only=False)
+        match = split.filter(pa.array(plain))
+        cores = pc.utf8_lower(match.field("core")).dictionary_encode()
+        marks = match.field("marks").dictionary_encode()
+        odd = [w for w, p in zip(words, plain.tolist(), strict=True) if not p]
+        ids = [e.ids for e in self.letters.encode_batch_fast(cores.dictionary.to_pylist(), add_special_tokens=False)]
+        n_cores = len(ids)
+        ids += [e.ids for e in self.tokenizer.encode_batch_fast([*marks.dictionary.to_pylist(), *odd], add_special_tokens=False)]
+        ids.append([])
+        part = np.full((len(words), 2), len(ids) - 1, dtype=np.int64)
+        part[plain, 0] = cores.indices.to_numpy()
+        part[plain, 1] = marks.indices.to_numpy() + n_cores
+        part[~plain, 0] = np.arange(len(odd)) + n_cores + len(marks.dictionary)
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        pool = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum()))
+        return pool[_stretches((np.cumsum(size) - size)[part.ravel()], size[part.ravel()])], size[part].sum(axis=1)
+
     def _numbers(self, vocabulary: list[str]) -> np.ndarray:
         """Where each word's ids stand in ``starts`` and ``sizes``."""
         if len(self.known) + len(vocabulary) > self.remember:
             self._forget()
-        new = [w for w in vocabulary if w not in self.known]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        known = self.known
+        new = [w for w in vocabulary if w not in known]
+        ids, sizes = self._encode(new)
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes.sum()))])
-        return np.fromiter((self.known[w] for w in vocabulary), dtype=np.int64, count=len(vocabulary))
+        self.pool = np.concatenate([self.pool, ids])
+        return np.fromiter(map(known.__getitem__, vocabulary), dtype=np.int64, count=len(vocabulary))
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each closed by ``end_id``; and where each text ends."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        words = pc.split_pattern_regex(texts, _SPACE)
+        words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
         number = self._numbers(coded.dictionary.to_pylist())
         sizes, starts, pool = self.sizes[number], self.starts[number], self.pool
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         long = sizes[at]
-        # gather the ids of all words, then make room for the end id of each text
         ends_of_words = np.cumsum(long)
         total = int(ends_of_words[-1]) if len(long) else 0
-        from_pool = np.arange(total) + np.repeat(starts[at] - (ends_of_words - long), long)
+        from_pool = _stretches(starts[at], long)
         offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
         text_ends = np.concatenate([[0], ends_of_words])[offsets[1:]]
         out = np.empty(total + len(texts), dtype=np.uint32)
@@ -141,13 +172,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             nonlocal base, held, n_held
             if not held:
                 return
-            ids, ends, names = np.concatenate([h[0] for h in held]), [], []
-            for i, (own, end, name) in enumerate(held):
-                ends.append(end + sum(len(h[0]) for h in held[:i]))
-                names.append(name)
-            end = np.concatenate(ends)
+            ids = np.concatenate([h[0] for h in held])
+            shift = np.cumsum([0, *(len(h[0]) for h in held)])
+            end = np.concatenate([h[1] + s for h, s in zip(held, shift, strict=False)])
             begin = np.concatenate([[0], end[:-1]])
-            name = pa.chunked_array(names).combine_chunks()
+            name = pa.chunked_array([h[2] for h in held]).combine_chunks()
             got = np.array(pack_lengths(end - begin, seq_len, linear, quadratic), dtype=np.int64).reshape(-1, 5)
             sizes = np.bincount(got[:, 3], weights=got[:, 2]).astype(np.int64)
             for at in range(0, len(got), 20_000):
@@ -159,17 +188,28 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 )
             base, held, n_held = base + len(sizes), [], 0
 
+        def encoded(waiting: list[pa.RecordBatch]) -> None:
+            nonlocal n_held
+            if waiting:
+                t = pa.Table.from_batches(waiting)
+                ids, ends = encode(t.column(1).combine_chunks(), end_id)
+                held.append((ids.astype("<u4", copy=False), ends, t.column(0).combine_chunks()))
+                n_held += len(ids)
+
+        waiting, size = [], 0
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1)
-            size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            cut = np.searchsorted(np.cumsum(size), np.arange(1, int(size.sum()) // 4_000_000 + 1) * 4_000_000)
-            for a, b in zip([0, *np.unique(cut)], [*np.unique(cut), len(texts)], strict=True):
+            own = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            cut = np.unique(np.searchsorted(np.cumsum(own), np.arange(1, int(own.sum()) // _AT_ONCE + 1) * _AT_ONCE))
+            for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
                 if b > a:
-                    ids, ends = encode(texts.slice(a, b - a), end_id)
-                    held.append((ids.astype("<u4", copy=False), ends, names.slice(a, b - a)))
-                    n_held += len(ids)
+                    waiting.append(batch.slice(a, b - a))
+                    size += int(own[a:b].sum())
+                if size >= _AT_ONCE:
+                    encoded(waiting)
+                    waiting, size = [], 0
                     if n_held >= chunk_tokens:
                         yield from flush()
+        encoded(waiting)
         yield from flush()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, {PIECES}").withColumnRenamed("id", id_col)

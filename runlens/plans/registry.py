@@ -1,6 +1,407 @@
-"""Registered queries and their SQL, by name."""
+"""Registered queries over the test tables, each with the same question in SQL.
+
+The tables hold no runs, so every operator is exercised on a table of the same shape; the
+mapping is stated with each query. In ``events`` a user is a run, an event an attempt or poll
+(ordered by ts and id), and an ``error`` event a failed one.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import jsontext as J
+from ..functions import scalars as S
+from ..operators import runs, texts, tools
+from ..sources import records
+from ..streaming import controller
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as attempts: run, branch, ts, failed."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("branch"), "ts", (F.col("event_type") == "error").alias("failed"))
+
+
+_ORDER = ["ts", "branch"]
+_A = "WITH a AS (SELECT user_id AS run, event_id AS branch, ts, event_type = 'error' AS failed FROM events) "
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# -- anchors, streaks, limits: events ------------------------------------------------------------
+
+
+@query(_A + "SELECT run, arg_max(branch, (ts, branch)) FILTER (WHERE NOT failed) AS anchor FROM a GROUP BY run")
+def anchor_promotion(spark, sf_dir):
+    return runs.last_anchor(attempts(spark, sf_dir), "run", "branch", ~F.col("failed"), F.struct("ts", "branch"))
+
+
+@query(_A + "SELECT run, arg_min(branch, (ts, branch)) FILTER (WHERE NOT failed) AS start, arg_max(branch, (ts, branch)) FILTER (WHERE NOT failed) AS latest FROM a GROUP BY run")
+def tracker_range(spark, sf_dir):
+    return runs.tracker_range(attempts(spark, sf_dir), "run", "branch", ~F.col("failed"), F.struct("ts", "branch"))
+
+
+@query(_A + "SELECT run, branch, coalesce(last_value(CASE WHEN NOT failed THEN branch END IGNORE NULLS) OVER (PARTITION BY run ORDER BY ts, branch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS anchor FROM a")
+def anchor_before_attempt(spark, sf_dir):
+    return runs.with_anchor(attempts(spark, sf_dir), "run", "branch", ~F.col("failed"), _ORDER, F.lit(-1).cast("long")).select("run", "branch", "anchor")
+
+
+_STREAK = "s AS (SELECT run, branch, ts, failed, CAST(sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY run, g ORDER BY ts, branch) AS BIGINT) AS streak FROM (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY ts, branch) AS g FROM a)) "
+
+
+@query(_A + ", " + _STREAK + "SELECT run, branch, streak FROM s")
+def failure_streak(spark, sf_dir):
+    return runs.with_streak(attempts(spark, sf_dir), "run", F.col("failed"), _ORDER).select("run", "branch", "streak")
+
+
+@query(_A + ", " + _STREAK + "SELECT run, branch, streak, CASE WHEN failed THEN 1200 ELSE 0 END AS sleep_s FROM (SELECT *, coalesce(sum(CASE WHEN streak >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY ts, branch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM s) WHERE done = 0")
+def halt_after_three(spark, sf_dir):
+    return runs.until_halt(attempts(spark, sf_dir), "run", F.col("failed"), _ORDER).select("run", "branch", "streak", "sleep_s")
+
+
+@query(_A + "SELECT run, branch, n AS episode_no FROM (SELECT run, branch, row_number() OVER (PARTITION BY run ORDER BY ts, branch) AS n FROM a WHERE NOT failed) WHERE n <= 5")
+def episode_limit(spark, sf_dir):
+    return runs.up_to_episode(attempts(spark, sf_dir), "run", ~F.col("failed"), _ORDER, 5).select("run", "branch", "episode_no")
+
+
+@query("SELECT user_id AS run, CAST(count(*) AS BIGINT) AS attempts, CAST(sum(CASE WHEN event_type <> 'error' AND event_type <> 'signup' THEN 1 ELSE 0 END) AS BIGINT) AS episodes FROM events GROUP BY user_id")
+def episode_counts(spark, sf_dir):
+    """Attempts and completed episodes per run; signup stands for bootstrap."""
+    e = table(spark, sf_dir, "events")
+    done = ~F.col("event_type").isin("error", "signup")
+    return e.groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("attempts"), F.count_if(done).alias("episodes"))
+
+
+@query(_A + "SELECT run, branch, row_number() OVER (PARTITION BY run ORDER BY ts, branch) AS attempt_no FROM a")
+def attempt_numbers(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    return attempts(spark, sf_dir).select("run", "branch", F.row_number().over(Window.partitionBy("run").orderBy(*_ORDER)).cast("long").alias("attempt_no"))
+
+
+@query(_A + "SELECT run, branch FROM (SELECT run, branch, coalesce(lag(failed) OVER (PARTITION BY run ORDER BY ts, branch), FALSE) AS active FROM a) WHERE NOT active")
+def new_launches(spark, sf_dir):
+    """Attempts that launch: those before which no branch is active (a failed attempt stands for one left active)."""
+    from pyspark.sql.window import Window
+
+    active = F.coalesce(F.lag("failed").over(Window.partitionBy("run").orderBy(*_ORDER)), F.lit(False))
+    return attempts(spark, sf_dir).withColumn("active", active).where(~F.col("active")).select("run", "branch")
+
+
+@query("""
+WITH RECURSIVE w(k, n, wait) AS (
+  SELECT o_orderkey, 1, CAST(1 + o_orderkey % 60 AS DOUBLE) FROM orders
+  UNION ALL SELECT k, n + 1, CAST(floor(least(floor(wait) * 1.5, 300)) AS DOUBLE) FROM w WHERE n < 7)
+SELECT k AS o_orderkey, CAST(n AS INTEGER) AS poll_no, wait AS wait_s FROM w
+""")
+def poll_backoff(spark, sf_dir):
+    """Waits of seven polls; an order seeds a first wait of 1 to 60 seconds."""
+    waits = S.backoff_waits((F.lit(1) + F.col("o_orderkey") % 60), F.lit(300), 7)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(waits).alias("n", "wait_s")).select("o_orderkey", (F.col("n") + 1).alias("poll_no"), "wait_s")
+
+
+@query("""
+WITH a AS (SELECT user_id AS run, event_id AS poll, ts, value, event_type, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS elapsed FROM (SELECT user_id, event_id, ts, floor(value) AS value, event_type FROM events))
+SELECT run, poll FROM (SELECT run, poll, row_number() OVER (PARTITION BY run ORDER BY ts, poll) AS n FROM a WHERE elapsed > 600 AND event_type <> 'purchase') WHERE n = 1
+""")
+def poll_timeout(spark, sf_dir):
+    """First poll past 600 seconds; an event waits floor(value) seconds and purchase is terminal."""
+    polls = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("poll"), "ts", F.floor("value").cast("double").alias("wait"), (F.col("event_type") == "purchase").alias("terminal"))
+    return runs.first_timeout(polls, "run", ["ts", "poll"], F.col("wait"), F.col("terminal"), 600.0).select("run", "poll")
+
+
+# -- parents and lineage: conversations, where the parent of a turn is the turn before -----------
+
+
+def _turns(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    name = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
+    return c.select("conv_id", "turn", name(F.col("turn")).alias("id"), name(F.col("turn") - 1).alias("parent_id"), F.col("role").alias("snap"))
+
+
+@query("SELECT c.conv_id, c.turn, NOT (p.conv_id IS NOT NULL AND lower(p.role) = lower(c.role) AND p.role <> '') AS fresh FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1")
+def snapshot_freshness(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    return runs.freshness(t, t, "parent_id", "id", "snap").select("conv_id", "turn", "fresh")
+
+
+@query("SELECT c.conv_id, c.turn, CASE WHEN p.conv_id IS NULL THEN TRUE WHEN p.role = 'system' THEN FALSE ELSE lower(p.role) <> lower(c.role) END AS fresh FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1")
+def freshness_strict(spark, sf_dir):
+    """As a rebootstrap judges it; a parent with role system stands for one answered with an error."""
+    t = _turns(spark, sf_dir)
+    return runs.freshness(t, t.withColumn("payload_error", F.col("snap") == "system"), "parent_id", "id", "snap", "rebootstrap").select("conv_id", "turn", "fresh")
+
+
+@query("""
+WITH RECURSIVE w(conv_id, turn, root, depth) AS (
+  SELECT c.conv_id, c.turn, c.turn, CAST(0 AS BIGINT) FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 WHERE p.conv_id IS NULL
+  UNION ALL SELECT c.conv_id, c.turn, w.root, w.depth + 1 FROM w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.turn + 1)
+SELECT conv_id || '-' || turn AS node, conv_id || '-' || root AS root, depth FROM w
+""")
+def lineage_depth(spark, sf_dir):
+    return runs.lineage(spark, _turns(spark, sf_dir), "id", "parent_id")
+
+
+# -- JSON ---------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, CAST(NULL AS VARCHAR) AS k_text, TRUE AS has_k, FALSE AS has_error FROM events")
+def typed_json_access(spark, sf_dir):
+    """``k`` is a number in all props, so it is one as a number and null as a text."""
+    v = F.try_parse_json("props")
+    return table(spark, sf_dir, "events").select("event_id", J.typed(v, "$.k", "NUMBER").alias("k"), J.typed(v, "$.k", "STRING").alias("k_text"), J.has_key("props", "k").alias("has_k"), J.has_key("props", "error").alias("has_error"))
+
+
+_RPC = [(1, '{"id":1,"error":null,"result":{"a":1}}'), (2, '{"result":{"structuredContent":{"branch_id":"b"},"isError":true}}'), (3, '{"result":{"isError":true}}'), (4, '{"result":[1]}'), (5, "{'a':1}"), (6, '{"a":1} x')]
+
+
+@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), '{"error":null,"id":1,"result":{"a":1}}'), (2, '{"branch_id":"b"}'), (3, '{"isError":true}'), (4, '{"result":[1]}'), (5, NULL), (6, NULL)) t(n, payload)""")
+def rpc_normalise(spark, sf_dir):
+    return values(spark, _RPC, "n long, body string").select("n", J.json_envelope("body").alias("payload"))
+
+
+@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), TRUE, FALSE), (2, FALSE, FALSE), (3, FALSE, TRUE), (4, FALSE, FALSE)) t(n, has_error, is_error)""")
+def rpc_error_flags(spark, sf_dir):
+    """Error keys as present, and isError as a JSON boolean of the normalised payload."""
+    rows = values(spark, _RPC[:4], "n long, body string")
+    v = F.try_parse_json(J.json_envelope("body"))
+    return rows.select("n", J.has_key("body", "error").alias("has_error"), F.coalesce(J.typed(v, "$.isError", "BOOLEAN"), F.lit(False)).alias("is_error"))
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'p1'), (2, 'q'), (3, 'b'), (4, 'z'), (5, '')) t(n, branch_id)")
+def branch_id_extract(spark, sf_dir):
+    rows = [(1, '{"parallel_explore":{"branches":[{"id":"p1"}]},"branch_id":"x"}'), (2, '{"branches":[{"id":5},{"branch":{"id":"q"}}],"id":"y"}'), (3, '{"branches":["s"],"branch_id":"b"}'), (4, '{"branch_id":"","id":"z"}'), (5, '{"id":7}')]
+    return values(spark, rows, "n long, body string").select("n", J.json_branch_id("body").alias("branch_id"))
+
+
+@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), '{"a":1}', NULL), (2, '{"a":' || chr(10) || '1}', NULL), (3, '{"a":1' || chr(10) || '}', NULL), (4, '{"x":2}', NULL), (5, '{"z":3}', NULL), (6, '{"a":1}', NULL), (7, '123', NULL), (8, NULL, 'no JSON data event in SSE response')) t(n, json, error)""")
+def sse_decode(spark, sf_dir):
+    rows = [(1, 'data: {"a":1}\n\n'), (2, ': ping\n\ndata: {"a":\ndata: 1}\n\n'), (3, 'data: {"a":1\n\ndata: }\n\n'), (4, 'event: m\ndata: hello {"x":2} bye\n\n'), (5, 'DATA : {"z":3}\n'), (6, '{"a":1}\n'), (7, "data: 123\n\n"), (8, "data: [DONE]\n\n")]
+    got = values(spark, rows, "n long, body string").withColumn("s", J.sse_first_json("body"))
+    return got.select("n", "s.json", "s.error")
+
+
+@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), '{"a":[1,2]}'), (2, '[1]'), (3, NULL), (4, NULL)) t(n, json)""")
+def json_first_value(spark, sf_dir):
+    return values(spark, [(1, 'x {"a":[1,2]} y'), (2, "[1] {}"), (3, "none"), (4, "{'a':1}")], "n long, body string").select("n", J.json_first_value("body").alias("json"))
+
+
+@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'unknown error'), (2, 'boom'), (3, 'm'), (4, '{"code":1}'), (5, '404'), (6, 'unknown error')) t(n, message)""")
+def error_text(spark, sf_dir):
+    return values(spark, [(1, '"  "'), (2, '" boom "'), (3, '{"message":" m "}'), (4, '{"code":1}'), (5, "404"), (6, "null")], "n long, body string").select("n", J.json_error_message("body").alias("message"))
+
+
+@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), '{"error":{"details":{"status":"failed"},"instruction":"FINISHED_WITH_ERROR","message":"m"},"status":"error"}'), (2, '{"error":"tool execution error","status":"error"}'), (3, '{"error":"plain","status":"error"}'), (4, '{"error":"unknown error","status":"error"}')) t(n, payload)""")
+def error_payload(spark, sf_dir):
+    rows = [(1, "m", "FINISHED_WITH_ERROR", '{"status":"failed"}', True), (2, "", None, None, True), (3, "plain", None, None, False), (4, None, None, None, False)]
+    return values(spark, rows, "n long, message string, instruction string, details string, typed boolean").select("n", J.json_error_payload("message", "instruction", "details", "typed").alias("payload"))
+
+
+@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'http_error', NULL, 'HTTP 500'), (2, 'sse', '{"a":1}', NULL), (3, 'json', '{"b":2}', NULL), (4, 'json', NULL, 'response is not a JSON object'), (5, 'sse', NULL, 'response is not a JSON object')) t(n, kind, payload, problem)""")
+def rpc_answers(spark, sf_dir):
+    rows = [(1, 500, "text/html", "x"), (2, 200, "text/event-stream; charset=utf-8", 'data: {"result":{"a":1}}\n\n'), (3, 200, "application/json", '{"result":{"b":2}}'), (4, 204, None, ""), (5, 200, "text/event-stream", "data: 123\n\n")]
+    return records.answers(values(spark, rows, "n long, http_status int, content_type string, body string")).select("n", "kind", "payload", "problem")
+
+
+# -- predicates, excerpts, texts ----------------------------------------------------------------
+
+_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'running' ELSE 'Finished' END"
+
+
+@query("SELECT o_orderkey, s IN ('failed', 'finished') AS terminal, s = 'finished' AS success, s = 'failed' AS final_failure FROM (SELECT o_orderkey, lower(" + _STATUS + ") AS s FROM orders)")
+def status_classify(spark, sf_dir):
+    """Order statuses F, O and P stand for failed, running and finished, with stray case and space."""
+    s = F.when(F.col("o_orderstatus") == "F", " Failed\t").when(F.col("o_orderstatus") == "O", " running").otherwise("Finished\n")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", s.alias("s"))
+    return rows.select("o_orderkey", S.is_terminal("s").alias("terminal"), S.is_success("s").alias("success"), S.is_terminal_failure(F.lit("FINISHED_WITH_ERROR"), "s").alias("final_failure"))
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) > 400 THEN substr(hex(encode(text)), 1, 800) || '2E2E2E' ELSE hex(encode(text)) END AS excerpt FROM documents")
+def failure_excerpt(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.hex(S.byte_excerpt("text")).alias("excerpt"))
+
+
+@query("SELECT d.doc_id, coalesce(nullif(trim(c.text), ''), nullif(trim(d.lang), ''), d.source) AS response FROM documents d LEFT JOIN (SELECT conv_id, min(text) AS text FROM conversations WHERE turn = 0 GROUP BY conv_id) c ON c.conv_id = d.doc_id")
+def response_precedence(spark, sf_dir):
+    """First turns stand for branch output, the language for status output, the source for the summary."""
+    c = table(spark, sf_dir, "conversations").where("turn = 0").groupBy("conv_id").agg(F.min("text").alias("out"))
+    d = table(spark, sf_dir, "documents").join(c, F.col("doc_id") == F.col("conv_id"), "left")
+    return tools.response_text(d, "out", "lang", "source").select("doc_id", "response")
+
+
+@query("SELECT d.doc_id, l.quality, CASE WHEN l.doc_id IS NULL THEN '404: not found' END AS error FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def artifact_lookup(spark, sf_dir):
+    """Labels stand for recorded artifacts; a document without one is not found."""
+    return tools.look_up(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"], "quality").select("doc_id", "quality", "error")
+
+
+@query("""
+WITH a AS (SELECT doc_id // 3 AS review, doc_id % 3 + 1 AS attempt, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT review, CASE WHEN min(CASE WHEN NOT missing THEN attempt END) IS NULL THEN 'exhausted' ELSE 'done' END AS result, CAST(coalesce(min(CASE WHEN NOT missing THEN attempt END), count(*)) AS BIGINT) AS attempts FROM a GROUP BY review
+""")
+def review_retry(spark, sf_dir):
+    """Three documents in a row are the attempts of a review; one without a label has no artifact."""
+    a = tools.look_up(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").withColumn("content", F.lit("ok")), ["doc_id"], "content")
+    a = a.select(F.expr("doc_id div 3").alias("review"), (F.col("doc_id") % 3 + 1).alias("attempt"), "error", "content")
+    return runs.review_result(a).select("review", "result", "attempts")
+
+
+@query("""
+WITH a AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber),
+b AS (SELECT l_orderkey AS call, l_linenumber - 1 AS attempt, q > 25 AS ok FROM a WHERE l_linenumber <= 3),
+p AS (SELECT call, min(CASE WHEN ok THEN attempt END) AS at FROM b GROUP BY call)
+SELECT b.call, CAST(count(*) AS BIGINT) AS attempts, CAST(any_value(p.at) AS INTEGER) AS succeeded_at, CAST(sum(CASE WHEN NOT ok AND attempt < 2 THEN CAST(1 AS BIGINT) << attempt ELSE 0 END) AS BIGINT) AS waited_s
+FROM b JOIN p ON b.call = p.call WHERE p.at IS NULL OR b.attempt <= p.at GROUP BY b.call
+""")
+def rpc_retry(spark, sf_dir):
+    """An order is a call, its first three lines are attempts, and quantities over 25 succeed."""
+    a = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+    a = a.select(F.col("l_orderkey").alias("call"), (F.col("l_linenumber") - 1).alias("attempt"), (F.col("q") > 25).alias("ok"), F.lit(False).alias("body_error"))
+    return tools.call_attempts(a).select("call", "attempts", "succeeded_at", "waited_s")
+
+
+@query("""
+WITH a AS (SELECT user_id, event_id, event_type, sum(floor(value)) OVER (PARTITION BY user_id ORDER BY event_id) AS elapsed FROM events),
+o AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' AND event_id % 7 = 0 THEN 'get_error' WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'failed' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'success' WHEN elapsed > 3000 AND NOT (event_type = 'error' AND event_id % 5 = 0) THEN 'timeout' END AS outcome FROM a)
+SELECT user_id AS branch_id, arg_min(outcome, event_id) AS outcome, min(event_id) AS decided_at FROM o WHERE outcome IS NOT NULL GROUP BY user_id
+""")
+def poll_outcome(spark, sf_dir):
+    """Events of a user are polls of a branch: errors may be failed lookups or statuses, purchases may be finished."""
+    from pyspark.sql.window import Window
+
+    e, n = F.col("event_type"), F.col("event_id")
+    p = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("branch_id"),
+        n.alias("poll_no"),
+        F.when((e == "error") & (n % 7 == 0), "reset").alias("get_error"),
+        F.lit(False).alias("has_error"),
+        F.lit("b").alias("id"),
+        F.when((e == "error") & (n % 5 == 0), "FAILED").when((e == "purchase") & (n % 3 == 0), " Finished").otherwise("running").alias("status"),
+        F.lit(True).alias("fresh"),
+        F.sum(F.floor("value")).over(Window.partitionBy("user_id").orderBy("event_id")).alias("elapsed"),
+    )
+    return runs.poll_outcome(p, timeout=3000.0).select("branch_id", "outcome", "decided_at")
+
+
+@query("""
+SELECT c_custkey, coalesce(nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN '  ' ELSE ' ' || c_mktsegment || ' ' END), ''), c_name) AS project,
+  CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE ' ' || c_mktsegment || ' ' END AS task,
+  CASE WHEN c_custkey % 2 = 0 THEN c_name WHEN c_custkey % 5 = 0 THEN c_mktsegment ELSE 'http://localhost:8000/mcp/sse' END AS url,
+  CASE WHEN c_custkey % 2 = 0 AND c_custkey % 5 = 0 THEN c_mktsegment ELSE '' END AS legacy, 'codex' AS agent FROM customer
+""")
+def config_overlay(spark, sf_dir):
+    """Customer names stand for saved state, market segments for configuration, blank for every third."""
+    k = F.col("c_custkey")
+    config = F.when(k % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "c_mktsegment", F.lit(" ")))
+    url, legacy = F.when(k % 2 == 0, F.col("c_name")).otherwise(""), F.when(k % 5 == 0, F.col("c_mktsegment")).otherwise("")
+    return table(spark, sf_dir, "customer").select("c_custkey", S.overlay("c_name", config).alias("project"), S.overlay("c_name", config, trimmed=False).alias("task"), S.endpoint(url, legacy).alias("url"), S.legacy_endpoint(url, legacy).alias("legacy"), S.first_non_blank(F.lit(" "), F.lit(S.DEFAULT_AGENT)).alias("agent"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE '/w/' || n_name || '/code_review.log' END AS path FROM nation")
+def review_paths(spark, sf_dir):
+    w = F.when(F.col("n_nationkey") % 4 == 0, " \t").otherwise(F.concat(F.lit(" /w/"), "n_name", F.lit("//")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", S.review_path(w).alias("path"))
+
+
+@query("SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, CASE event_type WHEN 'error' THEN 'episode_failed' WHEN 'purchase' THEN 'episode_completed' END AS template_id, CASE event_type WHEN 'error' THEN CAST(user_id AS VARCHAR) WHEN 'purchase' THEN CAST(event_id AS VARCHAR) END AS arg FROM events WHERE event_type IN ('error', 'purchase', 'view')")
+def log_parse(spark, sf_dir):
+    """Events rendered as log lines and read again; clicks and signups are debug lines, which are below the level."""
+    kind = F.col("event_type")
+    level = F.when(kind == "error", "ERROR").when(kind.isin("purchase", "view"), "INFO").otherwise("DEBUG")
+    message = F.when(kind == "error", F.format_string("Episode branch %d failed (attempt 1/3).", "user_id")).when(kind == "purchase", F.format_string("Episode %d completed. anchor_branch_id=%d", "event_id", "user_id")).otherwise(F.lit("something else"))
+    lines = table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", F.date_format("ts", "yyyy/MM/dd HH:mm:ss.SSSSSS"), level, message).alias("value"))
+    return texts.parse_logs(lines, least="INFO").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "level", "template_id", F.try_element_at("args", F.lit(1)).alias("arg"))
+
+
+@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'PASS', 'https://x/1', 'line one' || chr(10) || 'line two', FALSE), (2, NULL, NULL, NULL, TRUE), (3, 'FAIL', NULL, NULL, FALSE)) t(n, verdict, pr_url, report, clean)""")
+def protocol_markers(spark, sf_dir):
+    rows = [(1, "x\nVERDICT=PASS\nPR_URL=https://x/1\nBEGIN_REPORT\nline one\nline two\nEND_REPORT\n"), (2, " NO_P0_P1\n"), (3, "VERDICT=FAIL\nBEGIN_REPORT\nnever ends")]
+    return values(spark, rows, "n long, body string").select("n", texts.marker("body", "VERDICT").alias("verdict"), texts.marker("body", "PR_URL").alias("pr_url"), texts.section("body", "REPORT").alias("report"), texts.is_sentinel("body", "NO_P0_P1").alias("clean"))
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'missing tool name'), (2, 'unknown tool: zip'), (3, 'invalid arguments'), (4, '`branch_id` is required'), (5, NULL), (6, '`full_output` must be a boolean'), (7, '`prompt` is required'), (8, '`path` is required'), (9, NULL)) t(n, problem)")
+def tool_dispatch(spark, sf_dir):
+    rows = [(1, "", "{}"), (2, "zip", "{}"), (3, "branch_output", "{"), (4, "branch_output", ""), (5, "branch_output", '{"branch_id":"b","full_output":true}'), (6, "branch_output", '{"branch_id":"b","full_output":"true"}'), (7, "execute_agent", '{"agent":"a","parent_branch_id":"p"}'), (8, "read_artifact", '{"branch_id":"b","path":3}'), (9, "check_status", '{"branch_id":"b"}')]
+    return tools.check_calls(values(spark, rows, "n long, name string, arguments string")).select("n", "problem")
+
+
+@query("SELECT * FROM (VALUES ('execute_agent', 'agent', 'string', TRUE), ('execute_agent', 'prompt', 'string', TRUE), ('execute_agent', 'project_name', 'string', TRUE), ('execute_agent', 'parent_branch_id', 'string', TRUE), ('read_artifact', 'branch_id', 'string', TRUE), ('read_artifact', 'path', 'string', TRUE), ('branch_output', 'branch_id', 'string', TRUE), ('branch_output', 'full_output', 'boolean', FALSE)) t(tool, param, type, required)")
+def tool_catalogue(spark, sf_dir):
+    return tools.catalogue(spark)
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), TRUE, TRUE), (2, FALSE, TRUE), (3, FALSE, FALSE)) t(n, artifact_missing, branch_missing)")
+def not_found_rules(spark, sf_dir):
+    return values(spark, [(1, "HTTP 404 x"), (2, "branch Not Found"), (3, "boom")], "n long, m string").select("n", S.missing_artifact("m").alias("artifact_missing"), S.missing_branch("m").alias("branch_missing"))
+
+
+@query("SELECT o_custkey AS pr, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS kept FROM orders GROUP BY o_custkey")
+def idempotent_comments(spark, sf_dir):
+    """One comment per key, the first; a customer stands for the key, orders for attempts to comment."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pr"), F.col("o_orderkey").alias("kept"), F.struct("o_orderdate", "o_orderkey").alias("at"))
+    return texts.first_by_key(o, ["pr"], "at").select("pr", "kept")
+
+
+@query("SELECT o_custkey AS project, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS plan FROM orders GROUP BY o_custkey")
+def plan_upsert(spark, sf_dir):
+    """One plan per project, the latest written."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project"), F.col("o_totalprice").alias("plan"), F.struct("o_orderdate", "o_orderkey").alias("at"))
+    return texts.latest_by_key(o, "project", "at").select("project", "plan")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND source = 'src3'")
+def post_search(spark, sf_dir):
+    return texts.search_posts(table(spark, sf_dir, "documents"), "The", project="src3", project_col="source").select("doc_id")
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'p', 'c'), (4, 'q', NULL)) t(n, post_id, comment_id)")
+def unread_notifications(spark, sf_dir):
+    rows = [(1, "mention", False, '{"post_id":"p","comment_id":"c"}'), (2, "reply", True, '{"post_id":"p"}'), (3, "other", False, "{}"), (4, "thread_update", None, '{"post_id":"q"}')]
+    return texts.unread(values(spark, rows, "n long, type string, read boolean, payload string")).select("n", "post_id", "comment_id")
+
+
+@query("SELECT o_orderpriority AS scope, CAST(count(*) AS BIGINT) AS findings, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS severe FROM orders GROUP BY o_orderpriority")
+def triage_counts(spark, sf_dir):
+    """Findings and severe ones by scope; an order stands for a finding, its priority for the scope."""
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("scope")).agg(F.count("*").alias("findings"), F.count_if(F.col("o_orderstatus") == "F").alias("severe"))
+
+
+@query(_A + "SELECT run, branch, coalesce(last_value(CASE WHEN NOT failed AND branch % 3 = 0 THEN branch END IGNORE NULLS) OVER (PARTITION BY run ORDER BY ts, branch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS anchor FROM a")
+def fix_anchor(spark, sf_dir):
+    """Only successful fixes move the anchor; every third attempt is a fix."""
+    return runs.with_anchor(attempts(spark, sf_dir), "run", "branch", ~F.col("failed") & (F.col("branch") % 3 == 0), _ORDER, F.lit(-1).cast("long")).select("run", "branch", "anchor")
+
+
+@query(_A + ", " + _STREAK + """, k AS (SELECT * FROM (SELECT *, coalesce(sum(CASE WHEN streak >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY ts, branch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM s) WHERE done = 0)
+SELECT run, arg_max(branch, branch) FILTER (WHERE NOT failed) AS anchor, CAST(count(*) AS BIGINT) AS attempts, CAST(count(*) FILTER (WHERE NOT failed) AS BIGINT) AS successes, arg_max(streak, branch) AS streak, max(streak) >= 3 AS halted FROM k GROUP BY run""")
+def state_machine_stream(spark, sf_dir):
+    """The state machine as a stream over the events file; the last state of each run."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}"
+    base = f"{shared}/state-machine-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    rows = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), F.col("event_id").alias("branch"), (F.col("event_type") != "error").alias("ok"))
+    controller.run_to_end(controller.track(rows), f"{base}/out", f"{base}/checkpoint")
+    out = spark.read.schema(controller.OUTPUT).parquet(f"{base}/out")
+    return texts.latest_by_key(out, "run", "attempts").select("run", "anchor", "attempts", "successes", "streak", "halted")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import partitions
+from .common import materialize, partitions
 
 
 @dataclass(frozen=True)
@@ -93,4 +93,5 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     tree = topology(shards)
     grown = [*tree, Leaf(max(x.region for x in tree) + 1, max(x.rack for x in tree) + 1, shards)]
-    return slots(assign(assign(rows, id_col, tree, "shard"), id_col, grown, "grown_shard"), "shard", [id_col, "size", "text_crc32", "grown_shard"])
+    placed = materialize(assign(assign(rows, id_col, tree, "shard"), id_col, grown, "grown_shard"), "placed")  # narrow rows: the texts are read once
+    return slots(placed, "shard", [id_col, "size", "text_crc32", "grown_shard"])

@@ -28,7 +28,7 @@ def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, words=1, distance=3, chain=None)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, words=1, distance=3, chain=None, distinct=False)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 

@@ -36,11 +36,12 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return out.reshape(-1, 64)
 
 
-def fingerprint(text: str | None, shingle: int, words: int, seed: int = 42, chunk: int = 1 << 16) -> bytes:
+def fingerprint(text: str | None, shingle: int, words: int, distinct: bool = False, seed: int = 42, chunk: int = 1 << 16) -> bytes:
     """SimHash of a whole text, ``words`` x 64 bits, most significant byte of each word first.
 
     A-Z are lower-cased; words are runs without ASCII white space. Word 0 is over the XXH64 of
-    each shingle, the others over mixes of it. A bit is 1 if set in over half of the shingles.
+    each shingle, the others over mixes of it. A bit is 1 if set in over half of the shingles;
+    with ``distinct`` a shingle counts once however often the text repeats it.
     """
     from xxhash import xxh64_intdigest
 
@@ -52,9 +53,12 @@ def fingerprint(text: str | None, shingle: int, words: int, seed: int = 42, chun
     begins = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(tokens))
     ends, begins = ends[k - 1 :].tolist(), begins[: len(begins) - k + 1].tolist()
-    counts, n = np.zeros((words, 64), dtype=np.int64), len(ends)
+    hashes = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(begins, ends, strict=True)), dtype=np.uint64, count=len(ends))
+    if distinct:
+        hashes = np.unique(hashes)
+    counts, n = np.zeros((words, 64), dtype=np.int64), len(hashes)
     for at in range(0, n, chunk):
-        h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(begins[at : at + chunk], ends[at : at + chunk], strict=True)], dtype=np.uint64)
+        h = hashes[at : at + chunk]
         many = np.empty((len(h), words), dtype=np.uint64)
         many[:, 0] = h
         for w in range(1, words):
@@ -64,7 +68,7 @@ def fingerprint(text: str | None, shingle: int, words: int, seed: int = 42, chun
     return (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).astype(">u8").tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
     """``(id_col, fp binary)`` for every row; null and empty texts have the zero fingerprint. Other columns are dropped."""
     text_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -72,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py(), shingle, words) for t in batch.column(1)], type=pa.binary())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py(), shingle, words, distinct) for t in batch.column(1)], type=pa.binary())], names=["id", "fp"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, fp binary").withColumnRenamed("id", id_col)
 
@@ -146,11 +150,11 @@ def links(fps: DataFrame, words: int, distance: int, chain: int | None = None, b
     return block_pairs(keys, "k", "node", block).select("k", "bi", "bj", "b", "node", "fp").mapInArrow(compare, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 8, distance: int | None = None, similarity: float = 0.8, chain: int | None = 4, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 8, distance: int | None = None, similarity: float = 0.8, chain: int | None = 4, distinct: bool = True, block: int = 1024) -> DataFrame:
     """One row per document: ``id_col``, ``fp`` and ``component_id``, the smallest id reachable by links.
 
-    By default shingles have five words, and fingerprints of 8 x 64 bits are linked up to the
-    distance at which their angle says a Jaccard similarity of ``similarity``. With ``words=1``
+    By default distinct shingles of five words make fingerprints of 8 x 64 bits, linked up to
+    the distance at which their angle says a Jaccard similarity of ``similarity``. With ``words=1``
     and a distance under 4 every link is found. Documents of one fingerprint (so all exact
     copies, and all empty and null texts) are one class; only classes are compared. Null ids are never a
     component's id unless it has no other. Repeated rows are repeated. Empty table: no rows.
@@ -158,7 +162,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if distance is None:
         cosine = 2 * similarity / (1 + similarity)  # of shingle counts, for texts of one length
         distance = math.floor(words * 64 * math.acos(cosine) / math.pi)
-    ids = materialize(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
+    ids = materialize(fingerprints(docs, id_col, text_col, shingle, words, distinct), "fingerprints")
     node = F.conv(F.hex("fp"), 16, -10).cast("long") if words == 1 else F.xxhash64("fp")
     classes = materialize(ids.groupBy("fp").agg(F.min(id_col).alias("rep")).withColumn("node", node), "classes")
     roots = components(links(classes, words, distance, chain, block))

@@ -202,7 +202,7 @@ def test_simhash_finds_every_link(spark, block):
     rows = [(i, t) for i, t in enumerate(texts())]
     fps = {i: plain_fingerprint(t, 3) for i, t in rows}
     roots = reach(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3])
-    got = simhash.near_duplicates(documents(spark, [*rows, rows[3]]), shingle=3, words=1, distance=3, chain=None, block=block).collect()
+    got = simhash.near_duplicates(documents(spark, [*rows, rows[3]]), shingle=3, words=1, distance=3, chain=None, distinct=False, block=block).collect()
     assert len(got) == len(rows) + 1
     for r in got:
         assert int.from_bytes(r.fp, "big") == fps[r.doc_id] and r.component_id == roots[r.doc_id]

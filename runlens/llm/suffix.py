@@ -96,7 +96,6 @@ def anchors_of(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: i
 def _pieces(ends: np.ndarray, length: int) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
     """(begin, end, [(text, begin, end)]): stretches of the joined texts, each text's windows in exactly one."""
     held: list[tuple[int, int, int]] = []
-    start = 0
     for i, end in enumerate(ends.tolist()):
         begin = int(ends[i - 1]) if i else 0
         if end - begin < length:
@@ -113,7 +112,6 @@ def _pieces(ends: np.ndarray, length: int) -> Iterator[tuple[int, int, list[tupl
         held.append((i, begin, end))
     if held:
         yield held[0][1], held[-1][2], held
-    del start
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:

@@ -277,7 +277,8 @@ def repeats(docs: DataFrame, length: int, gram: int) -> DataFrame:
     than once, whether this is the first of them, and bit masks of windows that other contexts share.
     """
     anchors = materialize(_anchor_table(docs, length, gram), "anchors")
-    keys = anchors.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # written tables on the other side let Spark split the partition of a hot anchor in the joins below
+    keys = materialize(anchors.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "anchor-keys")
     # copies of a text have the same anchors: one row for all of them
     places = anchors.join(keys, "g").groupBy("g", "c", "t1", "t2", "pk").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     places = materialize(places, "places")
@@ -288,7 +289,7 @@ def repeats(docs: DataFrame, length: int, gram: int) -> DataFrame:
     wanted = materialize(wanted, "wanted")
     found = materialize(_contexts(docs, wanted, length), "context-bytes")
     masks = _masks_by_suffixes(found.where(F.col("m") <= HOT), length).union(_masks_by_counts(found.where(F.col("m") > HOT).select("g", "c", "id", "pk", "bytes"), length))
-    known = contexts.join(masks, ["g", "c"], "left").where("n > 1 or repeated is not null")
+    known = materialize(contexts.join(masks, ["g", "c"], "left").where("n > 1 or repeated is not null"), "masks")
     marked = places.select("g", "c", "t1", "t2", "pk", "id").join(known, ["g", "c"])
     first = (F.col("t1") == F.col("rep.t1")) & (F.col("t2") == F.col("rep.t2")) & (F.col("pk") == F.col("rep.pk"))
     mark = F.struct("pk", (F.col("n") > 1).alias("many"), first.alias("first"), "repeated", "later")

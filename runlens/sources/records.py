@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions.jsontext import json_envelope, sse_first_json
 
-# Fields of the saved state.
-STATE = "mcp_base_url string, rpc_url string, project_name string, agent string, task string, agents_md_url string, skills_url string, project_collaboration_md_url string, minibook_account string, anchor_branch_id string, bootstrap_branch_id string, active_episode_branch_id string, initialized boolean"
-DEFAULT_STATE = ".agent0/controller_state.json"
+# Fields of the saved state that the engine reads; other text fields are named by the caller.
+STATE = "mcp_base_url string, rpc_url string, project_name string, agent string, task string, agents_md_url string, skills_url string, project_collaboration_md_url string, anchor_branch_id string, bootstrap_branch_id string, active_episode_branch_id string, initialized boolean"
+DEFAULT_STATE = "controller_state.json"
 
 
-def load_state(spark: SparkSession, path: str = DEFAULT_STATE) -> DataFrame:
+def _schema(more: tuple[str, ...]) -> str:
+    return ", ".join([STATE, *(f"{c} string" for c in more)])
+
+
+def load_state(spark: SparkSession, path: str = DEFAULT_STATE, more: tuple[str, ...] = ()) -> DataFrame:
     """One saved state; no row if the file is missing, an error naming it if it is malformed."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], STATE)
-    return spark.read.schema(STATE).json(path, multiLine=True, mode="FAILFAST")
+        return spark.createDataFrame([], _schema(more))
+    return spark.read.schema(_schema(more)).json(path, multiLine=True, mode="FAILFAST")
 
 
 def save_version(state: DataFrame, path: str, version: int) -> None:
@@ -26,10 +30,10 @@ def save_version(state: DataFrame, path: str, version: int) -> None:
     state.select(F.lit(version).cast("long").alias("version"), F.to_json(F.struct(*fields)).alias("state")).write.mode("append").parquet(path)
 
 
-def current_state(spark: SparkSession, path: str) -> DataFrame:
+def current_state(spark: SparkSession, path: str, more: tuple[str, ...] = ()) -> DataFrame:
     """The state of the highest version."""
     last = spark.read.parquet(path).agg(F.max_by("state", "version").alias("state"))
-    return last.select(F.from_json("state", STATE).alias("s")).select("s.*")
+    return last.select(F.from_json("state", _schema(more)).alias("s")).select("s.*")
 
 
 def answers(responses: DataFrame, status: str = "http_status", content_type: str = "content_type", body: str = "body") -> DataFrame:

@@ -201,7 +201,9 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 z = slice(a, a + 20_000)
                 yield pa.RecordBatch.from_arrays([flat.field("g")[z], flat.field("c")[z], batch.column("id").take(pa.array(owner[z])), flat.field("pk")[z], flat.field("m")[z], pa.array([bytes(data[x:y]) for x, y in zip(begin[z], stop[z], strict=True)], pa.binary())], names=["g", "c", "id", "pk", "m", "bytes"])
 
-    return docs.join(lists, ["t1", "t2", "id"]).select("id", "text", "w").mapInArrow(run, "g long, c long, id long, pk long, m long, bytes binary")
+    lists = lists.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("id").alias("__id"), "w")
+    same = (F.col("t1") == F.col("__t1")) & (F.col("t2") == F.col("__t2")) & F.col("id").eqNullSafe(F.col("__id"))
+    return docs.join(lists, same).select("id", "text", "w").mapInArrow(run, "g long, c long, id long, pk long, m long, bytes binary")
 
 
 def _masks_by_suffixes(contexts: DataFrame, length: int) -> DataFrame:

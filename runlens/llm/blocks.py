@@ -13,6 +13,31 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
+#: A key with over 1 / SHARE of all rows is hot. There are fewer than SHARE of them at any size, so their table is broadcast.
+SHARE = 1000
+
+
+def hot_keys(counts: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
+    """``(*on, __p)``: keys of ``counts`` (one row per key, with its number of ``rows``) with over 1 / SHARE of ``total`` rows.
+
+    ``__p`` is in how many pieces to deal the rows of the key, so that a piece has about that share.
+    """
+    limit = max(total // SHARE, 1)
+    return counts.where(F.col(rows) > limit).select(*on, F.ceil(F.col(rows) / limit).cast("int").alias("__p"))
+
+
+def deal(rows: DataFrame, hot: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """``rows`` with their piece in ``__s``, by a hash of the columns ``by``; 0 where the key is not hot."""
+    piece = F.pmod(F.xxhash64(F.lit("piece"), *by), F.coalesce("__p", F.lit(1))).cast("int")
+    return rows.join(F.broadcast(hot), on, "left").withColumn("__s", piece).drop("__p")
+
+
+def for_each_piece(side: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """``side`` with one row for each piece ``__s`` of its key, to be joined with rows that ``deal`` has dealt."""
+    pieces = F.sequence(F.lit(0), F.coalesce("__p", F.lit(1)) - 1)
+    return side.join(F.broadcast(hot), on, "left").withColumn("__s", F.explode(pieces)).drop("__p")
+
+
 def block_pairs(keys: DataFrame, key: str, spread: str, block: int = BLOCK) -> DataFrame:
     """``keys`` sorted into runs ``(key, bi, bj)``, with the own block of each row in ``b``.
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import whole_runs
+from .blocks import deal, for_each_piece, hot_keys, whole_runs
 from .common import lean, materialize, text_batches
 
 _PIECE = 1 << 20  # bytes hashed at once; positions in a piece fit in the low bits of a value
@@ -162,10 +162,30 @@ def earlier_matches(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np
     return repeated, later
 
 
+def _one_of_each(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows ``(id, text, t1, t2, n)``: one for each text of the batch, with its least id and how often it is there."""
+    t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
+    order = np.lexsort((t2, t1))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (t1[order][1:] != t1[order][:-1]) | (t2[order][1:] != t2[order][:-1])
+    first = np.flatnonzero(new)
+    none = batch.column("id").is_null().to_numpy(zero_copy_only=False)[order]
+    ids = batch.column("id").fill_null(np.iinfo(np.int64).max).to_numpy()[order]
+    least = pa.array(np.minimum.reduceat(ids, first), mask=np.logical_and.reduceat(none, first))
+    size = pa.array(np.diff(np.append(first, len(order))))
+    kept = pa.array(order[first])
+    return pa.RecordBatch.from_arrays([least, *(batch.column(c).take(kept) for c in ("text", "t1", "t2")), size], names=["id", "text", "t1", "t2", "n"])
+
+
 def _anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """``(id, t1, t2, n, pk, g, c)`` for the anchors of every text; copies within a batch are combined, ``n`` counts them."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = _one_of_each(batch)
             texts = batch.column("text").cast(pa.large_binary())
             data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
             offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -176,9 +196,9 @@ def _anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 base = begin - (offsets[own] - offsets[0])
                 packed = ((anchor + base) << 16) | ((anchor - first) << 8) | (size - 1)
                 rows = pa.array(own)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("id", "t1", "t2")), pa.array(packed), pa.array(gram_hash.view(np.int64)), pa.array(context.view(np.int64))], names=["id", "t1", "t2", "pk", "g", "c"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("id", "t1", "t2", "n")), pa.array(packed), pa.array(gram_hash.view(np.int64)), pa.array(context.view(np.int64))], names=["id", "t1", "t2", "n", "pk", "g", "c"])
 
-    return docs.mapInArrow(run, "id long, t1 long, t2 long, pk long, g long, c long")
+    return docs.select("id", "text", "t1", "t2").mapInArrow(run, "id long, t1 long, t2 long, n long, pk long, g long, c long")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -272,30 +292,37 @@ def _masks_by_counts(contexts: DataFrame, length: int) -> DataFrame:
     return judged.groupBy("g", "c").agg(F.collect_list("w").alias("w")).mapInArrow(pack, "g long, c long, repeated binary, later binary")
 
 
-def repeats(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``(t1, t2, first_id, marks)`` for every text (t1, t2) with a repeated window of ``length`` bytes.
+def repeats(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """``(t1, t2, __s, first_id, marks)`` for every text (t1, t2) with a repeated window, and the texts with many copies.
 
     ``docs(id, text, t1, t2)``. A mark has an anchor's windows, whether its context occurs more
-    than once, whether this is the first of them, and bit masks of windows that other contexts share.
+    than once, whether this is the first of them, and bit masks of windows that other contexts
+    share. A text that makes up over 1 / SHARE of all rows is in the second table, ``(t1, t2, __p)``,
+    and has its marks once for each of ``__p`` pieces its rows are to be dealt to.
     """
     anchors = materialize(_anchor_table(docs, length, gram), "anchors")
-    # written tables on the other side let Spark split the partition of a hot anchor in the joins below
-    keys = materialize(anchors.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "anchor-keys")
-    # copies of a text have the same anchors: one row for all of them
-    places = anchors.join(keys, "g").groupBy("g", "c", "t1", "t2", "pk").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    places = materialize(places, "places")
+    keys = materialize(anchors.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("r")).where("n > 1").select("g", "r"), "anchor-keys")
+    hot = hot_keys(keys, ["g"], "r", anchors.count())
+    # copies of a text have the same anchors: one row for all of them. A row's piece depends on its place, so grouping needs no other shuffle
+    by_place = ["c", "t1", "t2", "pk"]
+    again = deal(anchors, hot, ["g"], by_place).join(for_each_piece(keys.select("g"), hot, ["g"]), ["g", "__s"])
+    places = materialize(again.groupBy("g", "__s", *by_place).agg(F.sum("n").alias("n"), F.min("id").alias("id")).drop("__s"), "places")
     order = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), (F.shiftright("pk", 16) - F.shiftright("pk", 8).bitwiseAND(255)).alias("at"), "t1", "t2", "pk", F.col("id").alias("own"))
-    contexts = materialize(places.groupBy("g", "c").agg(F.sum("n").alias("n"), F.min(order).alias("rep")), "contexts")
+    contexts = materialize(places.groupBy("g", "c").agg(F.sum("n").alias("n"), F.count("*").alias("r"), F.min(order).alias("rep")), "contexts")
     mixed = contexts.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
     wanted = contexts.join(mixed, "g").select("g", "c", "m", "rep.t1", "rep.t2", "rep.pk", F.col("rep.own").alias("id"))
     wanted = materialize(wanted, "wanted")
     found = materialize(_contexts(docs, wanted, length), "context-bytes")
     masks = _masks_by_suffixes(found.where(F.col("m") <= HOT), length).union(_masks_by_counts(found.where(F.col("m") > HOT).select("g", "c", "id", "pk", "bytes"), length))
     known = materialize(contexts.join(masks, ["g", "c"], "left").where("n > 1 or repeated is not null"), "masks")
-    marked = places.select("g", "c", "t1", "t2", "pk", "id").join(known, ["g", "c"])
+    hot = hot_keys(contexts, ["g", "c"], "r", places.count())
+    marked = deal(places.select("g", "c", "t1", "t2", "pk", "id"), hot, ["g", "c"], ["t1", "t2", "pk"])
+    marked = marked.join(for_each_piece(known.drop("r"), hot, ["g", "c"]), ["g", "c", "__s"]).drop("__s")
+    copies = hot_keys(places.groupBy("t1", "t2").agg(F.max("n").alias("n")), ["t1", "t2"], "n", docs.count())
     first = (F.col("t1") == F.col("rep.t1")) & (F.col("t2") == F.col("rep.t2")) & (F.col("pk") == F.col("rep.pk"))
     mark = F.struct("pk", (F.col("n") > 1).alias("many"), first.alias("first"), "repeated", "later")
-    return marked.groupBy("t1", "t2").agg(F.min("id").alias("first_id"), F.collect_list(mark).alias("marks"))
+    marks = for_each_piece(marked.select("t1", "t2", "id", mark.alias("mark")), copies, ["t1", "t2"])
+    return marks.groupBy("t1", "t2", "__s").agg(F.min("id").alias("first_id"), F.collect_list("mark").alias("marks")), copies
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep: str = "first", gram: int = 32) -> DataFrame:
@@ -316,9 +343,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = docs.drop("kept", "n_bytes", "n_removed", "spans")
     keyed = named.withColumn("__text", text).withColumn("t1", F.xxhash64("__text")).withColumn("t2", F.xxhash64(F.lit("second"), "__text"))
     narrow = keyed.select(F.col(id_col).cast("long").alias("id"), F.col("__text").alias("text"), "t1", "t2")
-    marks = repeats(narrow, length, gram)
+    marks, copies = repeats(narrow, length, gram)
     rows = named.select(F.struct(*[F.col(c) for c in named.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), text.alias("__text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"))
-    joined = rows.join(marks, ["t1", "t2"], "left").select("__row", "__id", "__text", "first_id", "marks")
+    joined = deal(rows, copies, ["t1", "t2"], ["__id"]).join(marks, ["t1", "t2", "__s"], "left").select("__row", "__id", "__text", "first_id", "marks")
     from pyspark.sql import types as T
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

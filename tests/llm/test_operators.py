@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from runlens.llm import chat, decontam, embeddings, graph, htmltext, packing, sharding, simhash, suffix, toxicity, urlfilter
+from runlens.llm import blocks, chat, decontam, embeddings, graph, htmltext, packing, sharding, simhash, suffix, toxicity, urlfilter
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -405,6 +405,18 @@ def test_repeats_exactly(spark, monkeypatch, length, gram, hot):
     assert sorted((r.doc_id is None, r.doc_id or 0, bytes(r.kept), r.n_removed, len(r.spans)) for r in got) == sorted((i is None, i or 0, *w) for (i, _), w in zip(rows, want, strict=True))
 
 
+@pytest.mark.parametrize("share", [1000, 4])
+def test_repeats_with_null_ids_and_hot_groups(spark, monkeypatch, share):
+    monkeypatch.setattr(blocks, "SHARE", share)
+    rng = random.Random(5)
+    line, passage = words(rng, 60), words(rng, 70)
+    rows = [(None, words(rng, 30) + passage[:250] + words(rng, 30)), (4, words(rng, 20) + passage + words(rng, 9)), (None, passage), (None, passage)]
+    rows += [(10 + i, f"{words(rng, 30)} {line} {words(rng, 30)} {line}") for i in range(12)] + [(50 + i % 9, line + " copy") for i in range(20)]
+    want = cut_bytes([t for _, t in rows], 200)
+    got = suffix.remove_repeats(documents(spark, rows), keep="none").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, bytes(r.kept), r.n_removed, len(r.spans)) for r in got) == sorted((i is None, i or 0, *w) for (i, _), w in zip(rows, want, strict=True))
+
+
 def test_long_text_over_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix, "_PIECE", 1 << 12)
     monkeypatch.setattr(suffix, "_LOW", np.uint64((1 << 12) - 1))

@@ -287,8 +287,10 @@ def _masks_by_counts(contexts: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("c"), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["g", "c", "repeated", "later"])
 
     every = contexts.mapInArrow(windows, "g long, c long, id long, at long, k long, h long")
-    classes = every.groupBy("g", "h").agg((F.min("c") != F.max("c")).alias("repeated"), F.min(F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "at")).alias("first")).where("repeated")
-    judged = every.join(classes, ["g", "h"], "left").select("g", "c", F.struct("k", F.coalesce("repeated", F.lit(False)).alias("repeated"), F.coalesce(F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "at") > F.col("first"), F.lit(False)).alias("later")).alias("w"))
+    classes = every.groupBy("g", "h").agg((F.min("c") != F.max("c")).alias("repeated"), F.min(F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "at")).alias("first"), F.count("*").alias("r")).where("repeated")
+    classes = materialize(classes, "window-classes")
+    hot = hot_keys(classes, ["g", "h"], "r", classes.agg(F.sum("r")).first()[0] or 0)
+    judged = deal(every, hot, ["g", "h"], ["c"]).join(for_each_piece(classes.drop("r"), hot, ["g", "h"]), ["g", "h", "__s"], "left").select("g", "c", F.struct("k", F.coalesce("repeated", F.lit(False)).alias("repeated"), F.coalesce(F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "at") > F.col("first"), F.lit(False)).alias("later")).alias("w"))
     return judged.groupBy("g", "c").agg(F.collect_list("w").alias("w")).mapInArrow(pack, "g long, c long, repeated binary, later binary")
 
 
@@ -309,8 +311,9 @@ def repeats(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFra
     places = materialize(again.groupBy("g", "__s", *by_place).agg(F.sum("n").alias("n"), F.min("id").alias("id")).drop("__s"), "places")
     order = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), (F.shiftright("pk", 16) - F.shiftright("pk", 8).bitwiseAND(255)).alias("at"), "t1", "t2", "pk", F.col("id").alias("own"))
     contexts = materialize(places.groupBy("g", "c").agg(F.sum("n").alias("n"), F.count("*").alias("r"), F.min(order).alias("rep")), "contexts")
-    mixed = contexts.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = contexts.join(mixed, "g").select("g", "c", "m", "rep.t1", "rep.t2", "rep.pk", F.col("rep.own").alias("id"))
+    mixed = materialize(contexts.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
+    hot = hot_keys(mixed, ["g"], "m", contexts.count())
+    wanted = deal(contexts, hot, ["g"], ["c"]).join(for_each_piece(mixed, hot, ["g"]), ["g", "__s"]).select("g", "c", "m", "rep.t1", "rep.t2", "rep.pk", F.col("rep.own").alias("id"))
     wanted = materialize(wanted, "wanted")
     found = materialize(_contexts(docs, wanted, length), "context-bytes")
     masks = _masks_by_suffixes(found.where(F.col("m") <= HOT), length).union(_masks_by_counts(found.where(F.col("m") > HOT).select("g", "c", "id", "pk", "bytes"), length))

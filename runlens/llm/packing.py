@@ -18,7 +18,7 @@ from .common import lean, text_batches
 #: Words of Latin-1 letters and ASCII marks after them: to the tokenizer a token of letters and one of marks, already composed.
 _PLAIN = "^(?P<core>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
 #: Bytes of text that are encoded together.
-_AT_ONCE = 8_000_000
+_AT_ONCE = 2_000_000
 
 
 def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -61,10 +61,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Have Spark hand over whole texts in Arrow batches of at most ``rows`` rows, so that long texts fit in memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Have Spark hand over whole texts in Arrow batches of at most ``rows`` rows that end once they hold ``size`` bytes, so that long texts fit in memory."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        found = spark.conf.get(key, None) or "0"
+        if not (found.isdigit() and 0 < int(found) <= most):
+            spark.conf.set(key, str(most))
+
+
+def trim() -> None:
+    """Give memory that Arrow and the C library hold free back to the system."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -76,9 +87,6 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
             yield from run(batches)
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            trim()
 
     return call

@@ -13,12 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, text_batches
+from .common import lean, text_batches, trim
 
 #: Words of Latin-1 letters and ASCII marks after them: to the tokenizer a token of letters and one of marks, already composed.
 _PLAIN = "^(?P<core>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
-#: Bytes of text that are encoded together.
+#: Bytes of text that are encoded together, and words of them that the tokenizer sees in one call.
 _AT_ONCE = 2_000_000
+_WORDS_AT_ONCE = 4096
 
 
 def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -49,24 +50,32 @@ class WordEncoder:
         self.known: dict[str, int] = {}
         self.pool, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    @staticmethod
+    def _ids(tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these words, one after another, and how many each has. An encoding takes far more memory than its ids."""
+        pools, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(words), _WORDS_AT_ONCE):
+            ids = [e.ids for e in tokenizer.encode_batch_fast(words[a : a + _WORDS_AT_ONCE].to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+            pools.append(np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes[-1].sum())))
+        return np.concatenate(pools), np.concatenate(sizes)
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and how many each has."""
-        split = pc.extract_regex(pa.array(words, pa.string()), _PLAIN)
+        words = pa.array(words, pa.string())
+        split = pc.extract_regex(words, _PLAIN)
         plain = split.is_valid().to_numpy(zero_copy_only=False)
         match = split.filter(pa.array(plain))
         cores = pc.utf8_lower(match.field("core")).dictionary_encode()
         marks = match.field("marks").dictionary_encode()
-        odd = [w for w, p in zip(words, plain.tolist(), strict=True) if not p]
-        ids = [e.ids for e in self.letters.encode_batch_fast(cores.dictionary.to_pylist(), add_special_tokens=False)]
-        n_cores = len(ids)
-        ids += [e.ids for e in self.tokenizer.encode_batch_fast([*marks.dictionary.to_pylist(), *odd], add_special_tokens=False)]
-        ids.append([])
-        part = np.full((len(words), 2), len(ids) - 1, dtype=np.int64)
+        odd = words.filter(pa.array(~plain))
+        n_cores, n_marks = len(cores.dictionary), len(marks.dictionary)
+        got = [self._ids(self.letters, cores.dictionary), self._ids(self.tokenizer, marks.dictionary), self._ids(self.tokenizer, odd)]
+        pool, size = np.concatenate([g[0] for g in got]), np.concatenate([*(g[1] for g in got), [0]])
+        part = np.full((len(words), 2), len(size) - 1, dtype=np.int64)
         part[plain, 0] = cores.indices.to_numpy()
         part[plain, 1] = marks.indices.to_numpy() + n_cores
-        part[~plain, 0] = np.arange(len(odd)) + n_cores + len(marks.dictionary)
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        pool = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum()))
+        part[~plain, 0] = np.arange(len(odd)) + n_cores + n_marks
         return pool[_stretches((np.cumsum(size) - size)[part.ravel()], size[part.ravel()])], size[part].sum(axis=1)
 
     def _numbers(self, vocabulary: list[str]) -> np.ndarray:
@@ -195,6 +204,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 ids, ends = encode(t.column(1).combine_chunks(), end_id)
                 held.append((ids.astype("<u4", copy=False), ends, t.column(0).combine_chunks()))
                 n_held += len(ids)
+                trim()
 
         waiting, size = [], 0
         for batch in batches:

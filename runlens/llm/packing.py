@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -18,7 +19,7 @@ from .common import lean, text_batches, trim
 #: Words of Latin-1 letters and ASCII marks after them: to the tokenizer a token of letters and one of marks, already composed.
 _PLAIN = "^(?P<core>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
 #: Bytes of text that are encoded together, and words of them that the tokenizer sees in one call.
-_AT_ONCE = 2_000_000
+_AT_ONCE = 4_000_000
 _WORDS_AT_ONCE = 4096
 
 
@@ -32,24 +33,36 @@ class WordEncoder:
     """Token ids of whole texts, by way of their distinct white-space-free words.
 
     The vocabulary's pre-tokeniser never joins characters over white space, so ids of a text
-    are the ids of its words in order; each distinct word is encoded once and remembered. Plain
+    are the ids of its words in order; each distinct word is encoded once and remembered, until
+    there are ``remember`` of them; then only those of the texts at hand stay. Plain
     words are looked up as letters in lower case and marks, which is what the tokenizer's own
     normaliser and splitter make of them; all others pass through it whole.
     """
 
-    def __init__(self, tokenizer_path: str, remember: int = 600_000):
+    def __init__(self, tokenizer_path: str, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.letters = Tokenizer.from_file(tokenizer_path), Tokenizer.from_file(tokenizer_path)
         self.letters.normalizer, self.letters.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.remember = remember
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.last: list[str] = []
         self.pool, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _keep(self, vocabulary: list[str]) -> None:
+        """Forget all words but these."""
+        words = [w for w in vocabulary if w in self.known]
+        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        self.pool, self.sizes = self.pool[_stretches(self.starts[at], self.sizes[at])], self.sizes[at]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.known = dict(zip(words, range(len(words)), strict=True))
+
+    def rest(self) -> None:
+        """Keep just the words of the texts encoded last, for the next task of this worker."""
+        self._keep(self.last)
+        self.last = []
+
     @staticmethod
     def _ids(tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of these words, one after another, and how many each has. An encoding takes far more memory than its ids."""
@@ -80,10 +93,10 @@ class WordEncoder:
 
     def _numbers(self, vocabulary: list[str]) -> np.ndarray:
         """Where each word's ids stand in ``starts`` and ``sizes``."""
-        if len(self.known) + len(vocabulary) > self.remember:
-            self._forget()
-        known = self.known
-        new = [w for w in vocabulary if w not in known]
+        new = [w for w in vocabulary if w not in self.known]
+        if len(self.known) + len(new) > self.remember:
+            self._keep(vocabulary)
+        known, self.last = self.known, vocabulary
         ids, sizes = self._encode(new)
         known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
@@ -114,6 +127,12 @@ class WordEncoder:
         return out, close + 1
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(tokenizer_path: str) -> WordEncoder:
+    """The encoder of this Python worker, which Spark keeps for later tasks."""
+    return WordEncoder(tokenizer_path)
+
+
 def pack_lengths(lengths: np.ndarray, seq_len: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """Cost-balanced assignment of documents of these lengths: (document, start, length, sequence, offset).
 
@@ -174,7 +193,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer_path)
+        encode = _encoder(tokenizer_path)
         base, held, n_held = TaskContext.get().partitionId() << 36, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -220,6 +239,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     if n_held >= chunk_tokens:
                         yield from flush()
         encoded(waiting)
+        encode.rest()
         yield from flush()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, {PIECES}").withColumnRenamed("id", id_col)

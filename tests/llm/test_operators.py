@@ -76,6 +76,23 @@ def test_packing_keeps_every_id(spark, seq_len):
         assert end == size <= seq_len and (end == seq_len or end & (end - 1) == 0)
 
 
+def test_word_encoder_forgets_and_slices(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_WORDS_AT_ONCE", 7)
+    tokenizer, encode = Tokenizer.from_file(VOCABULARY), packing.WordEncoder(VOCABULARY, remember=150)
+    for turn in range(2):
+        for t in [*texts(), "zzz yyy, \u3000 Ünï"]:
+            ids, ends = encode(pa.array([t, None, t]), 1)
+            want = tokenizer.encode(t or "", add_special_tokens=False).ids
+            assert ids.tolist() == [*want, 1, 1, *want, 1]
+            assert ends.tolist() == [len(want) + 1, len(want) + 2, 2 * len(want) + 3]
+        encode.rest()
+    encode.rest()
+    assert not encode.known and not len(encode.pool)
+
+
 def test_packing_balances_cost():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 900, 4000)

@@ -1,7 +1,8 @@
-"""SimHash near-dedup (4): fingerprints over word shingles, linked through a pigeonring filter."""
+"""SimHash near-dedup (4): fingerprints over word shingles, linked through a pigeonring filter or by exact Jaccard."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -9,12 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import block_pairs, pairs_of_runs, whole_runs
 from .common import lean, materialize, text_batches
 from .graph import components, local_components
 
 _LANES = np.uint64(0x0101010101010101)
+_BAND = 4  # min-hashes of a band
 _SEGMENT = 16  # bits of a segment; the key of a bucket is (segment number, its bits)
 
 
@@ -36,26 +39,22 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return out.reshape(-1, 64)
 
 
-def fingerprint(text: str | None, shingle: int, words: int, distinct: bool = False, seed: int = 42, chunk: int = 1 << 16) -> bytes:
-    """SimHash of a whole text, ``words`` x 64 bits, most significant byte of each word first.
-
-    A-Z are lower-cased; words are runs without ASCII white space. Word 0 is over the XXH64 of
-    each shingle, the others over mixes of it. A bit is 1 if set in over half of the shingles;
-    with ``distinct`` a shingle counts once however often the text repeats it.
-    """
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle of a whole text. A-Z are lower-cased; words are runs without ASCII white space."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return bytes(8 * words)
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(tokens))
     ends, begins = ends[k - 1 :].tolist(), begins[: len(begins) - k + 1].tolist()
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(begins, ends, strict=True)), dtype=np.uint64, count=len(ends))
-    if distinct:
-        hashes = np.unique(hashes)
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(begins, ends, strict=True)), dtype=np.uint64, count=len(ends))
+
+
+def _fingerprint(hashes: np.ndarray, words: int, chunk: int = 1 << 16) -> bytes:
     counts, n = np.zeros((words, 64), dtype=np.int64), len(hashes)
     for at in range(0, n, chunk):
         h = hashes[at : at + chunk]
@@ -68,17 +67,53 @@ def fingerprint(text: str | None, shingle: int, words: int, distinct: bool = Fal
     return (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).astype(">u8").tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """``(id_col, fp binary)`` for every row; null and empty texts have the zero fingerprint. Other columns are dropped."""
+def fingerprint(text: str | None, shingle: int, words: int, distinct: bool = False, seed: int = 42, chunk: int = 1 << 16) -> bytes:
+    """SimHash of a whole text, ``words`` x 64 bits, most significant byte of each word first.
+
+    Word 0 is over the hash of each shingle, the others over mixes of it. A bit is 1 if set in
+    over half of the shingles; with ``distinct`` a shingle counts once however often the text repeats it.
+    """
+    hashes = shingle_hashes(text, shingle, seed)
+    return _fingerprint(np.unique(hashes) if distinct else hashes, words, chunk)
+
+
+def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """Keys of ``bands`` bands, each of ``_BAND`` min-hashes of a set; sets of Jaccard J agree in one with probability J ** _BAND."""
+    if not len(hashes):
+        return np.zeros(bands, dtype=np.uint64)
+    odd = _mix(np.arange(1, bands * _BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    low = np.array([_mix((hashes ^ (m >> np.uint64(7))) * m).min() for m in odd]).reshape(bands, _BAND)
+    key = np.arange(bands, dtype=np.uint64)
+    for i in range(_BAND):
+        key = _mix((key ^ low[:, i]) + np.uint64(0x9E3779B97F4A7C15))
+    return key
+
+
+def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, words: int = 1, distinct: bool = False, bands: int = 0) -> DataFrame:
+    """``docs`` with a key of the row, ``__row``, and of its class, ``__class``; ``__fp``, ``__bands`` and ``__size``.
+
+    Null and empty texts have the zero fingerprint. A class is a fingerprint or, with ``bands``,
+    a set of distinct shingles. ``__row`` is settled once the result is written.
+    """
     text_batches(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    schema = T.StructType([*docs.schema.fields, T.StructField("__row", T.LongType()), T.StructField("__fp", T.BinaryType()), T.StructField("__class", T.BinaryType()), T.StructField("__bands", T.BinaryType()), T.StructField("__size", T.LongType())])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py(), shingle, words, distinct) for t in batch.column(1)], type=pa.binary())], names=["id", "fp"])
+            made: list[tuple[bytes, bytes, bytes | None, int]] = []
+            for t in batch.column(read):
+                hashes = shingle_hashes(t.as_py(), shingle)
+                hashes = np.unique(hashes) if distinct else hashes
+                fp = _fingerprint(hashes, words)
+                made.append((fp, hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if bands else fp, band_keys(hashes, bands).tobytes() if bands else None, len(hashes)))
+            new = [pa.array([m[i] for m in made], type=kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.binary(), pa.int64()))]
+            rest = [batch.column(n) for n in docs_columns] + [batch.column("__row")]
+            yield pa.RecordBatch.from_arrays([*rest, *new], names=names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, fp binary").withColumnRenamed("id", id_col)
+    docs_columns, names = docs.columns, schema.names
+    read = text_col if isinstance(docs.schema[text_col].dataType, T.StringType) else "__text"
+    return docs.withColumn("__row", F.monotonically_increasing_id()).withColumn(read, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def _popcounts(x: np.ndarray) -> np.ndarray:
@@ -150,27 +185,133 @@ def links(fps: DataFrame, words: int, distance: int, chain: int | None = None, b
     return block_pairs(keys, "k", "node", block).select("k", "bi", "bj", "b", "node", "fp").mapInArrow(compare, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 8, distance: int | None = None, similarity: float = 0.8, chain: int | None = 4, distinct: bool = True, block: int = 1024) -> DataFrame:
+def candidates(classes: DataFrame, words: int, similarity: float, block: int = 1024) -> DataFrame:
+    """Links ``(src, dst)`` that connect all sets ``classes(node, fp, bands, size)`` that may have a Jaccard of ``similarity``.
+
+    Sets meet where they agree in a band. A pair of them is a candidate within the distance that
+    stands for ``similarity`` and 6.5 standard deviations of it; sets under 32 shingles, whose
+    bits tie often, at any distance.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    limit = math.ceil(words * 64 * p + 6.5 * math.sqrt(words * 64 * p * (1 - p)))
+
+    @lean
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key = np.frombuffer(b"".join(batch.column("bands").to_pylist()), dtype=np.int64)
+            at = pa.array(np.repeat(np.arange(n), len(key) // n))
+            rest = batch.select(["node", "fp", "size"])
+            for a in range(0, len(key), 1 << 16):
+                part = rest.take(at.slice(a, 1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)]), *part.columns], names=["k", "node", "fp", "size"])
+
+    @lean
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_runs(batches, ["k", "bi", "bj"]):
+            n = t.num_rows
+            if len(starts) == n:
+                continue
+            fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), dtype=np.uint64).reshape(n, words)
+            size, node = t.column("size").to_numpy(), t.column("node").to_numpy()
+
+            def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                least, most = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                return (least >= similarity * most - 1) & ((least < 32) | (_popcounts(fp[x] ^ fp[y]).sum(axis=1) <= limit))
+
+            x, y = pairs_of_runs(starts, n, near)
+            if len(x):
+                label = local_components(n, x, y)
+                moved = np.flatnonzero(label != np.arange(n))
+                yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["src", "dst"])
+
+    keys = classes.select("node", "fp", "bands", "size").mapInArrow(explode, "k long, node long, fp binary, size long")
+    return block_pairs(keys, "k", "node", block).select("k", "bi", "bj", "node", "fp", "size").mapInArrow(compare, "src long, dst long")
+
+
+def similar(groups: DataFrame, shingle: int, similarity: float, block: int = 256) -> DataFrame:
+    """Links ``(src, dst)`` that connect the texts of ``groups(root, node, text)`` whose distinct shingles have a Jaccard of ``similarity`` or more.
+
+    Every pair of a group is decided by its exact Jaccard, unless links before it connect the two.
+    """
+
+    @lean
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_runs(batches, ["root", "bi", "bj"], block):
+            node, text = t.column("node").to_numpy(), t.column("text")
+            for a, z in zip(starts, [*starts[1:], t.num_rows], strict=True):
+                n = int(z - a)
+                if n < 2:
+                    continue
+                sets = [np.unique(shingle_hashes(text[i].as_py(), shingle)) for i in range(a, z)]
+                size = np.array([len(x) for x in sets])
+                at = np.concatenate([[0], np.cumsum(size)])
+                ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+                mark = np.zeros(len(ids) + 1, dtype=bool)
+                label, src, dst = np.arange(n), [], []
+                for i in range(n - 1):
+                    later = np.arange(i + 1, n)
+                    todo = later[(label[later] != label[i]) & (np.minimum(size[later], size[i]) >= similarity * np.maximum(size[later], size[i]) - 1)]
+                    if not len(todo):
+                        continue
+                    mark[ids[at[i] : at[i + 1]]] = True
+                    for j in todo:
+                        if label[j] == label[i]:
+                            continue
+                        both = int(np.count_nonzero(mark[ids[at[j] : at[j + 1]]]))
+                        if both / max(1, size[i] + size[j] - both) >= similarity:
+                            src.append(node[a + i])
+                            dst.append(node[a + j])
+                            label[label == label[j]] = label[i]
+                    mark[ids[at[i] : at[i + 1]]] = False
+                if src:
+                    yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    text_batches(groups.sparkSession)
+    return block_pairs(groups, "root", "node", block).select("root", "bi", "bj", "node", "text").mapInArrow(compare, "src long, dst long")
+
+
+def _members(roots: DataFrame) -> DataFrame:
+    """``roots(node, root)`` with the roots themselves."""
+    return roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _grouped(docs: DataFrame, text_col: str = "text", shingle: int = 5, words: int = 8, distance: int | None = None, similarity: float = 0.8, chain: int | None = 4, distinct: bool = True, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """``fingerprints`` of ``docs``, written, and the component of each class: ``(__class, __root)``."""
+    exact = distance is None
+    bands = math.ceil(math.log(1e-7) / math.log(1 - similarity**_BAND)) if exact and similarity < 1 else int(exact)
+    rows = fingerprints(docs, text_col, shingle, words, distinct or exact, bands)
+    rows = materialize(rows if exact else rows.drop(text_col), "fingerprints")
+    classes = rows.groupBy("__class").agg(F.min("__row").alias("row"), F.first(F.struct("__fp", "__bands", "__size")).alias("x"))
+    classes = classes.select("__class", "row", F.col("x.__fp").alias("fp"), F.col("x.__bands").alias("bands"), F.col("x.__size").alias("size"), F.monotonically_increasing_id().alias("node"))
+    classes = materialize(classes, "classes")
+    if exact:
+        found = _members(components(candidates(classes, words, similarity, block)))
+        of_row = classes.select("node", "row").join(found, "node")
+        texts = rows.select(F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text"))
+        roots = components(similar(materialize(texts.join(of_row, "row").select("root", "node", "text"), "candidates"), shingle, similarity))
+    else:
+        roots = components(links(classes, words, distance, chain, block))
+    of_class = classes.select("__class", "node").join(_members(roots), "node", "left").select("__class", F.coalesce("root", "node").alias("__root"))
+    return rows, of_class
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document: ``id_col``, ``fp`` and ``component_id``, the smallest id reachable by links.
 
-    By default distinct shingles of five words make fingerprints of 8 x 64 bits, linked up to
-    the distance at which their angle says a Jaccard similarity of ``similarity``. With ``words=1``
-    and a distance under 4 every link is found. Documents of one fingerprint (so all exact
-    copies, and all empty and null texts) are one class; only classes are compared. Null ids are never a
-    component's id unless it has no other. Repeated rows are repeated. Empty table: no rows.
+    By default texts are linked whose distinct five-word shingles have a Jaccard of at least
+    ``similarity`` (0.8): ``candidates`` finds pairs, ``similar`` decides them. With a ``distance``,
+    fingerprints of ``words`` x 64 bits are linked within so many bits instead (see ``links``).
+    Documents of one class (so all exact copies, and all empty and null texts) are linked; only
+    classes are compared. Null ids are never a component's id unless it has no other. Repeated
+    rows are repeated. Empty table: no rows.
     """
-    if distance is None:
-        cosine = 2 * similarity / (1 + similarity)  # of shingle counts, for texts of one length
-        distance = math.floor(words * 64 * math.acos(cosine) / math.pi)
-    ids = materialize(fingerprints(docs, id_col, text_col, shingle, words, distinct), "fingerprints")
-    node = F.conv(F.hex("fp"), 16, -10).cast("long") if words == 1 else F.xxhash64("fp")
-    classes = materialize(ids.groupBy("fp").agg(F.min(id_col).alias("rep")).withColumn("node", node), "classes")
-    roots = components(links(classes, words, distance, chain, block))
-    linked = classes.select("node", "rep").join(roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct()), "node")
-    lowest = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_node = linked.select("node", "root").join(lowest, "root").select("node", "component_id")
-    of_fp = classes.join(of_node, "node", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return ids.join(of_fp, "fp", "left").select(id_col, "fp", "component_id")
+    rows, of_class = _grouped(docs.select(id_col, text_col), text_col, **how)
+    lowest = rows.groupBy("__class").agg(F.min(id_col).alias("rep")).join(of_class, "__class").groupBy("__root").agg(F.min("rep").alias("component_id"))
+    of_class = materialize(of_class.join(lowest, "__root").select("__class", "component_id"), "components")
+    return rows.join(of_class, "__class").select(id_col, F.col("__fp").alias("fp"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

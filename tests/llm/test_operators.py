@@ -252,6 +252,29 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert simhash.deduplicate(documents(spark, [])).count() == 0
 
 
+def shingle_set(text, k=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def test_near_duplicates_link_exactly_by_jaccard(spark):
+    rng = random.Random(31)
+    rows = []
+    for n in (12, 30, 105, 305):
+        for wanted in (0.70, 0.73, 0.76, 0.79, 0.80, 0.81, 0.82, 0.83, 0.85):
+            for _ in range(8):
+                base = [f"u{rng.getrandbits(40)}" for _ in range(n)]
+                cut = round((1 - wanted) / (1 + wanted) * (n - 4))
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[cut:] + [f"v{rng.getrandbits(40)}" for _ in range(cut)]))]
+    sets = {i: shingle_set(t) for i, t in rows}
+    jaccard = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2)}
+    assert sum(0.8 <= j <= 0.85 for j in jaccard.values()) > 50 and sum(0.7 <= j < 0.8 for j in jaccard.values()) > 50
+    for block in (16, 1024):
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, rows), block=block).collect()}
+        assert {i for i in jaccard if got[i] == got[i + 1]} == {i for i, j in jaccard.items() if j >= 0.8}
+        assert all(got[i] in (i, i - i % 2) for i in got)
+
+
 def test_components(spark):
     rng = random.Random(2)
     for links in ([], [(i, i + 1) for i in range(60)], [(rng.randrange(300), rng.randrange(300)) for _ in range(200)], [(0, i) for i in range(1, 90)]):

@@ -278,12 +278,12 @@ def _members(roots: DataFrame) -> DataFrame:
     return roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _grouped(docs: DataFrame, text_col: str = "text", shingle: int = 5, words: int = 8, distance: int | None = None, similarity: float = 0.8, chain: int | None = 4, distinct: bool = True, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, text_col: str = "text", whole: bool = True, shingle: int = 5, words: int = 8, distance: int | None = None, similarity: float = 0.8, chain: int | None = 4, distinct: bool = True, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """``fingerprints`` of ``docs``, written, and the component of each class: ``(__class, __root)``."""
     exact = distance is None
     bands = math.ceil(math.log(1e-7) / math.log(1 - similarity**_BAND)) if exact and similarity < 1 else int(exact)
     rows = fingerprints(docs, text_col, shingle, words, distinct or exact, bands)
-    rows = materialize(rows if exact else rows.drop(text_col), "fingerprints")
+    rows = materialize(rows if exact or whole else rows.drop(text_col), "fingerprints")
     classes = rows.groupBy("__class").agg(F.min("__row").alias("row"), F.first(F.struct("__fp", "__bands", "__size")).alias("x"))
     classes = classes.select("__class", "row", F.col("x.__fp").alias("fp"), F.col("x.__bands").alias("bands"), F.col("x.__size").alias("size"), F.monotonically_increasing_id().alias("node"))
     classes = materialize(classes, "classes")
@@ -308,19 +308,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes are compared. Null ids are never a component's id unless it has no other. Repeated
     rows are repeated. Empty table: no rows.
     """
-    rows, of_class = _grouped(docs.select(id_col, text_col), text_col, **how)
+    rows, of_class = _grouped(docs.select(id_col, text_col), text_col, False, **how)
     lowest = rows.groupBy("__class").agg(F.min(id_col).alias("rep")).join(of_class, "__class").groupBy("__root").agg(F.min("rep").alias("component_id"))
     of_class = materialize(of_class.join(lowest, "__root").select("__class", "component_id"), "components")
     return rows.join(of_class, "__class").select(id_col, F.col("__fp").alias("fp"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one document of each component of ``near_duplicates``: the one of the smallest id."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("__n"))
-    kept = materialize(kept, "kept")
-    one = docs.join(kept.where("__n = 1").select(F.col(id_col).alias("__id")), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    if kept.where("__n > 1").isEmpty():
-        return one
-    more = docs.join(kept.where("__n > 1").select(F.col(id_col).alias("__id")), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return one.unionByName(more.dropDuplicates([id_col]))
+    """``docs`` with one document of each component of ``near_duplicates``: the one of the smallest id, null ids last.
+
+    Rows are told apart by a key of their own, so ids may be null or repeated.
+    """
+    rows, of_class = _grouped(docs, text_col, **how)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("__row")))
+    of_each = rows.groupBy("__class").agg(first.alias("x")).join(of_class, "__class")
+    kept = materialize(of_each.groupBy("__root").agg(F.min("x").alias("x")).select(F.col("x.__row").alias("__row")), "kept")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)

@@ -275,6 +275,23 @@ def test_near_duplicates_link_exactly_by_jaccard(spark):
         assert all(got[i] in (i, i - i % 2) for i in got)
 
 
+def test_deduplicate_keeps_unlike_documents_of_null_and_repeated_ids(spark):
+    rng = random.Random(41)
+    text = [" ".join(f"u{rng.getrandbits(40)}" for _ in range(60)) for _ in range(8)]
+    near = text[0] + " tail"
+    rows = [(1, text[0]), (None, near), (None, text[1]), (None, text[2]), (None, text[2]), (7, text[3]), (7, text[4]), (7, text[4] + " tail"), (9, text[5]), (None, text[5]), (None, text[6])]
+    want = sorted([text[0], text[1], text[2], text[3], text[5], text[6]])
+    for how in ({}, {"shingle": 3, "words": 1, "distance": 3, "chain": None, "distinct": False}):
+        kept = [(r.doc_id, r.text) for r in simhash.deduplicate(documents(spark, rows), **how).collect()]
+        fours = [t for _, t in kept if t.startswith(text[4])]
+        if not how:
+            assert len(fours) == 1 and sorted(t for _, t in kept if not t.startswith(text[4])) == want
+            assert (1, text[0]) in kept and (9, text[5]) in kept
+        assert set(text[1:4]) | {text[5], text[6]} <= {t for _, t in kept} and sum(t == text[2] for _, t in kept) == 1
+    only = simhash.deduplicate(documents(spark, [(None, text[0]), (None, near), (3, text[0] + " end")])).collect()
+    assert [(r.doc_id, r.text) for r in only] == [(3, text[0] + " end")]
+
+
 def test_components(spark):
     rng = random.Random(2)
     for links in ([], [(i, i + 1) for i in range(60)], [(rng.randrange(300), rng.randrange(300)) for _ in range(200)], [(0, i) for i in range(1, 90)]):

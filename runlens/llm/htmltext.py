@@ -28,19 +28,18 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag, self.dropped = [-1], ["#root"], [False]
+        self.parent, self.tag, self.dropped, self.noise = [-1], ["#root"], [False], [False]
         self.open = [0]
-        self.text: list[str] = []
-        self.tags = self.linked = self.in_link = 0
+        self.text: list[tuple[str, int, bool]] = []
+        self.tags = self.in_link = 0
+        self.raw: list[tuple[list[tuple[str, int, bool]], int, int]] = []
         self.lines: list[tuple[str, int, int, int]] = []
-        self.heading = 0
 
     def _line(self) -> None:
         if self.text:
-            if text := " ".join("".join(self.text).split()):
-                self.lines.append((text, self.tags, self.linked, self.open[-1]))
+            self.raw.append((self.text, self.tags, self.open[-1]))
             self.text = []
-        self.tags = self.linked = 0
+        self.tags = 0
 
     def _noise(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         inside = any(self.tag[i] in ("article", "main") for i in self.open)
@@ -49,10 +48,14 @@ class _Lines(HTMLParser):
         a = {k: (v or "").lower() for k, v in attrs}
         if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or a.get("role") in _NOISE_ROLES:
             return True
+        return False
+
+    def _named(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether a whole class name or id says that the element is no content."""
         if tag in ("html", "body", "main"):
             return False
-        words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", " ".join(v or "" for k, v in attrs if k in ("class", "id"))).lower()))
-        return bool(words & _NOISE) or not inside and "header" in words
+        names = set(" ".join(v or "" for k, v in attrs if k in ("class", "id")).lower().split())
+        return bool(names & _NOISE) or "header" in names and not any(self.tag[i] in ("article", "main") for i in self.open)
 
     def _pop_to(self, at: int) -> None:
         for i in self.open[at:]:
@@ -80,6 +83,7 @@ class _Lines(HTMLParser):
         self.parent.append(self.open[-1])
         self.tag.append(tag)
         self.dropped.append(self.dropped[self.open[-1]] or self._noise(tag, attrs))
+        self.noise.append(self._named(tag, attrs))
         self.open.append(len(self.tag) - 1)
         self.in_link += tag == "a"
 
@@ -94,13 +98,35 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.dropped[self.open[-1]]:
-            self.text.append(data)
-            if self.in_link:
-                self.linked += len(data)
+            self.text.append((data, self.open[-1], self.in_link > 0))
 
     def close(self) -> None:
         super().close()
         self._line()
+        self._drop_named()
+        for pieces, tags, node in self.raw:
+            left = [(data, linked) for data, at, linked in pieces if not self.dropped[at]]
+            if text := " ".join("".join(data for data, _ in left).split()):
+                self.lines.append((text, tags, sum(len(data) for data, linked in left if linked), node))
+
+    def _drop_named(self) -> None:
+        """Elements named as no content go, unless they wrap the page's main or h1, or all of its articles and half of its text."""
+        if not any(self.noise):
+            return
+        n = len(self.tag)
+        heads = [int(t in ("main", "h1") and not d) for t, d in zip(self.tag, self.dropped, strict=True)]
+        articles = [int(t == "article" and not d) for t, d in zip(self.tag, self.dropped, strict=True)]
+        chars = [0] * n
+        for pieces, _, _ in self.raw:
+            for data, node, linked in pieces:
+                chars[node] += 0 if linked else len(data.strip())
+        for i in range(n - 1, 0, -1):
+            for x in (heads, articles, chars):
+                x[self.parent[i]] += x[i]
+        for i in range(1, n):
+            wraps = heads[i] or articles[i] and articles[i] == articles[0] and chars[i] * 2 >= chars[0]
+            own = self.tag[i] in ("article", "h1")
+            self.dropped[i] = self.dropped[i] or self.dropped[self.parent[i]] or self.noise[i] and (own or not wraps)
 
 
 def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -116,10 +142,12 @@ def extract_text(html: str | None, sigma: float = 1.0, strength: float = 0.5, sh
     Events of the standard parser cut the page into lines at block tags; menus, forms, scripts
     and other parts marked as no content give none. A line's ratio is its unlinked characters
     over its tags. Lines whose smoothed ratio reaches ``strength`` standard deviations form the
-    content cluster, and the region is the article (or, without one, the deepest element that
-    holds ``share`` of the cluster's text). An article is taken whole, short lines included;
-    elsewhere lines outside the cluster count only as headings or, if not mostly links,
-    between two lines of the cluster.
+    content cluster. A line of it weighs its characters, twice those in an article or main, and
+    the region is the deepest element that holds ``share`` of the weight. Where that is in an
+    article, or articles hold ``share`` of it, the region is the articles side by side there that
+    hold lines of the cluster, each whole; where it is in a main, the whole main. Elsewhere
+    lines outside the cluster count only as headings, in articles with lines of the cluster or,
+    if not mostly links, between two lines of the cluster.
     """
     page = _Lines()
     page.feed(html or "")
@@ -131,25 +159,40 @@ def extract_text(html: str | None, sigma: float = 1.0, strength: float = 0.5, sh
     chosen = ratio >= strength * ratio.std()
     if not chosen.any():
         chosen[:] = True
-    weight = [0] * len(page.tag)
+    n = len(page.tag)
+    article, main, kids = [-1] * n, [-1] * n, [[] for _ in range(n)]  # the outermost ones around each element
+    for i in range(1, n):
+        up = page.parent[i]
+        kids[up].append(i)
+        for around, tag in ((article, "article"), (main, "main")):
+            around[i] = around[up] if around[up] >= 0 else i if page.tag[i] == tag and not page.dropped[i] else -1
+    weight = [0] * n
     for (text, _, _, node), yes in zip(lines, chosen, strict=True):
-        while node >= 0:
-            weight[node] += len(text) if yes else 0
-            node = page.parent[node]
-    inside = lambda node, top: node == top or node >= 0 and node > top and inside(page.parent[node], top)
-    marked = [i for i, t in enumerate(page.tag) if t == "article" and not page.dropped[i] and weight[i]] or [i for i, t in enumerate(page.tag) if t == "main" and not page.dropped[i] and weight[i]]
-    if marked:
-        top = max(marked, key=lambda i: (weight[i], -i))
-        return " ".join(t for t, _, _, node in lines if inside(node, top))
+        weight[node] += len(text) * (1 + (article[node] >= 0 or main[node] >= 0)) if yes else 0
+    for i in range(n - 1, 0, -1):
+        weight[page.parent[i]] += weight[i]
     top = 0
-    while kids := [i for i, p in enumerate(page.parent) if p == top and weight[i] >= share * weight[0]]:
-        top = kids[0]
+    while heavy := [i for i in kids[top] if weight[i] >= share * weight[0]]:
+        top = heavy[0]
+    within = [False] * n
+    for i in range(n):
+        within[i] = i == top or i > 0 and within[page.parent[i]]
+    found = {i for i in range(n) if article[i] == i and weight[i]}
+    if article[top] >= 0:
+        beside = page.parent[article[top]]
+        return " ".join(t for t, _, _, node in lines if article[node] in found and page.parent[article[node]] == beside)
+    if sum(weight[i] for i in found if within[i]) >= share * weight[top]:
+        return " ".join(t for t, _, _, node in lines if article[node] in found and within[node])
+    if main[top] >= 0:
+        return " ".join(t for t, _, _, node in lines if main[node] == main[top])
     if page.tag[top] == "p":
         top = page.parent[top]
-    hit = [i for i, yes in enumerate(chosen) if yes and inside(lines[i][3], top)]
+        for i in range(n):
+            within[i] = i == top or i > 0 and within[page.parent[i]]
+    hit = [i for i, yes in enumerate(chosen) if yes and within[lines[i][3]]]
     out = []
     for i, (text, _, linked, node) in enumerate(lines):
-        if inside(node, top) and (chosen[i] or page.tag[node] in ("h1", "h2", "h3", "h4", "h5", "h6") or hit and hit[0] < i < hit[-1] and linked * 2 < len(text)):
+        if within[node] and (chosen[i] or article[node] in found or page.tag[node] in ("h1", "h2", "h3", "h4", "h5", "h6") or hit and hit[0] < i < hit[-1] and linked * 2 < len(text)):
             out.append(text)
     return " ".join(out)
 

@@ -542,6 +542,21 @@ def test_extracts_article(html, text):
     assert htmltext.extract_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><article><h2>One</h2><p>{LONG * 5}</p></article><article><p>{LONG}</p><p>Two.</p></article><article><p>{LONG}</p></article></body>", f"One {LONG * 5}{LONG}Two. {LONG}"),
+        (f"<body><article><p>A card. {LONG}</p></article><div id=text><h1>Head</h1><p>{LONG * 4}</p><p>Short.</p><p>{LONG * 4}</p></div></body>", f"Head {LONG * 4}Short. {LONG * 4}"),
+        (f"<main><p>{LONG * 3}</p><p>Short.</p><article><p>{LONG}</p></article><p>{LONG * 3}</p></main>", f"{LONG * 3}Short. {LONG}{LONG * 3}"),
+        (f"<div class='content-with-sidebar'><p>{LONG}</p><div class='social'>share</div><p>{LONG}</p></div>", LONG * 2),
+        (f"<div class='sidebar'><article><p>{LONG}</p></article></div>", LONG),
+        ("<article>" + "<div>" * 3000 + f"<p>{LONG}</p>", LONG),
+    ],
+)
+def test_extracts_regions_of_the_page(html, text):
+    assert htmltext.extract_text(html) == text.strip()
+
+
 def test_extract_keeps_other_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<article>x</article>", "old"), (1, "u", "<article>x</article>", "old"), (2, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(tuple(r) for r in htmltext.extract(pages).fillna("-").collect()) == [(1, "u", "x"), (1, "u", "x"), (2, "-", "")]

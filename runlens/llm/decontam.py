@@ -48,19 +48,25 @@ def myers(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
     return (best, end) if end >= 0 else None
 
 
+def _joined(a: str, b: str) -> bool:
+    """Whether neighbours belong to one word."""
+    return a.isalnum() and b.isalnum()
+
+
 class Matcher:
     """Finds every item of a list within its error budget in whole texts.
 
     An item of n characters may differ by ``n * rate`` edits; cut into one piece more, at least
     one piece occurs unchanged. Pieces are found by one automaton; each hit opens a window
     around the item's place there, overlapping windows of an item are joined, and the distance
-    decides.
+    decides. An item under ``min_chars`` characters must occur unchanged and as whole words.
     """
 
-    def __init__(self, items: list[tuple[object, str]], rate: float):
+    def __init__(self, items: list[tuple[object, str]], rate: float, min_chars: int = 0):
         import ahocorasick
 
-        self.items = [(i, t, int(len(t) * rate)) for i, t in items if t]
+        self.items = [(i, t, int(len(t) * rate) if len(t) >= min_chars else 0) for i, t in items if t]
+        self.min_chars = min_chars
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k) in enumerate(self.items):
             for j in range(k + 1):
@@ -85,6 +91,12 @@ class Matcher:
         out = []
         for n, starts in places.items():
             item, pattern, k = self.items[n]
+            if len(pattern) < self.min_chars:
+                size = len(pattern)
+                at = next((s for s in sorted(set(starts)) if not (s and _joined(text[s - 1], text[s])) and not _joined(text[s + size - 1], text[s + size : s + size + 1])), None)
+                if at is not None:
+                    out.append((item, 0, at, at + size))
+                continue
             best = None
             lo = hi = None
             for s in [*sorted(set(starts)), None]:
@@ -113,7 +125,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     Both texts are compared in lower case with single spaces; places are in that form of the
     document. The benchmark goes through the driver ``chunk_chars`` at a time, one automaton and
     one pass over the documents each, so its size is bounded whatever its length; documents are
-    never shuffled. Items under ``min_chars`` characters, empty or null ones match nothing.
+    never shuffled. Items under ``min_chars`` characters match unchanged and as whole words
+    only; empty or null ones match nothing.
     Repeated items and documents give repeated rows; a document without a match gives none.
     """
     text_batches(docs.sparkSession)
@@ -124,7 +137,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     def search(items: list[tuple[object, str]]) -> DataFrame:
         @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate)
+            matcher = Matcher(items, rate, min_chars)
             for batch in batches:
                 at, found = [], []
                 for n, t in enumerate(batch.column(1)):
@@ -142,7 +155,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     found, chunk, size = [], [], 0
     for r in benchmark.select(item_id, F.col(item_text).cast("string")).toLocalIterator():
         text = normal(r[1])
-        if len(text) < min_chars:
+        if not text:
             continue
         if chunk and size + len(text) > chunk_chars:
             found.append(search(chunk))
@@ -173,7 +186,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, rate: float, min_chars: int,
     def mark(frame: DataFrame, items: list[tuple[object, str]]) -> DataFrame:
         @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate)
+            matcher = Matcher(items, rate, min_chars)
             for batch in batches:
                 leak = [bool(matcher(t.as_py())) for t in batch.column(text_col)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leak, pa.bool_())], names=[*batch.schema.names, flag])
@@ -183,7 +196,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, rate: float, min_chars: int,
     out, chunk, size = docs, [], 0
     for r in benchmark.select(F.col(item_text).cast("string")).toLocalIterator():
         text = normal(r[0])
-        if len(text) < min_chars:
+        if not text:
             continue
         if chunk and size + len(text) > chunk_chars:
             out = mark(out, chunk).where(~F.col(flag)).drop(flag)

@@ -191,6 +191,14 @@ def test_decontamination(spark):
     assert decontam.matches(docs, bench.limit(0)).count() == 0 and decontam.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_short_items_match_as_whole_words(spark):
+    docs = documents(spark, [(1, "Say  Short, please"), (2, "a shorter one"), (3, "unshort"), (4, "shot"), (5, None), (6, "2+2=4"), (7, "12+2=4")])
+    bench = spark.createDataFrame([(1, "short"), (2, ""), (3, None), (4, " 2+2 ")], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontam.matches(docs, bench).collect())
+    assert got == [(1, 1, 0, 4, 9), (6, 4, 0, 0, 3)]
+    assert {r.doc_id for r in decontam.decontaminate(docs, bench).collect()} == {2, 3, 4, 5, 7}
+
+
 # -- SimHash -----------------------------------------------------------------------------------
 
 

@@ -31,6 +31,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     Returns ``(node, root)`` for every node of a link whose component has a smaller id than it;
     roots and lonely nodes are absent. Nulls, loops and repeated links are ignored. Hot nodes
     are never gathered: each star is an aggregate (combined before the shuffle) and a join.
+    Raises RuntimeError where ``max_rounds`` rounds do not show the fixed point.
     """
     e = edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     e = materialize(e, "links")
@@ -46,4 +47,6 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(small, "links")
+    else:
+        raise RuntimeError(f"components have not converged in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -300,6 +300,12 @@ def test_deduplicate_keeps_unlike_documents_of_null_and_repeated_ids(spark):
     assert [(r.doc_id, r.text) for r in only] == [(3, text[0] + " end")]
 
 
+def test_unfinished_components_raise(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        graph.components(path, max_rounds=2)
+
+
 def test_components(spark):
     rng = random.Random(2)
     for links in ([], [(i, i + 1) for i in range(60)], [(rng.randrange(300), rng.randrange(300)) for _ in range(200)], [(0, i) for i in range(1, 90)]):

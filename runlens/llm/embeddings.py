@@ -1,4 +1,4 @@
-"""Embedding near-dedup (6): a pivot-permutation index with inverted lists of shared pivots."""
+"""Embedding near-dedup (6): a pivot-permutation index with inverted lists and counts of shared pivots."""
 
 from __future__ import annotations
 
@@ -7,133 +7,222 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .blocks import block_pairs, pairs_of_runs, whole_runs
-from .common import lean, materialize
+from .blocks import block_pairs, deal, for_each_piece, hot_join, hot_keys, pairs_of_runs, whole_runs
+from .common import discard, lean, materialize
 from .graph import components, local_components
 
-#: Pivots are chosen from at most this many vectors, those of the lowest id hashes.
-PIVOT_SAMPLE = 4096
+#: Pivot number of vectors whose dimension has no pivot; they are all compared.
+_NO_PIVOT = (1 << 32) - 1
 
 
-def _prepare(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, node, unit): ``unit`` is the vector at length 1 as little-endian doubles, null if it can't be compared."""
-    id_type = vectors.schema[id_col].dataType.simpleString()
+def _usable(v: Column) -> Column:
+    """Whether a vector can be compared: not null, empty or zero, and all components finite."""
+    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(whole & F.exists(v, lambda x: x != 0), F.lit(False))
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for v in batch.column(1):
-                x = None if not v.is_valid or v.values.null_count else np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.float64)
-                if x is not None and len(x) and np.isfinite(x).all() and (top := np.abs(x).max()) > 0:
-                    x = x / top  # no overflow or underflow of squares
-                    out.append((x / math.sqrt(float(x @ x))).astype("<f8").tobytes())
-                else:
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary())], names=["id", "unit"])
-
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, f"id {id_type}, unit binary")
-    return rows.withColumn("node", F.when(F.col("unit").isNotNull(), F.xxhash64("unit")))
-
-
-def choose_pivots(sample: list[bytes], n: int) -> np.ndarray:
-    """Farthest-first choice of up to ``n`` pivots of one dimension, from unit vectors."""
-    x = np.array([np.frombuffer(s, "<f8") for s in sample])
-    chosen, nearest = [0], x @ x[0]
-    while len(chosen) < min(n, len(x)):
-        k = int(nearest.argmin())
-        if nearest[k] > 1 - 1e-9:
-            break
-        chosen.append(k)
-        nearest = np.maximum(nearest, x @ x[k])
-    return x[chosen]
-
-
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, n_pivots: int | None = None, prefix: int = 6, block: int = 1024) -> DataFrame:
+
+def _hash(v: Column) -> Column:
+    return F.xxhash64(v)
+
+
+def _classes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(id, h, same)`` and classes of equal vectors ``(node, dim, h, same, n, rep, v)``, written.
+
+    Equal vectors share the hash ``h``. Where a hash is that of several vectors, ``same`` holds
+    the vector too; it is null everywhere else, so that vectors aren't moved for it.
+    """
+    kind = vectors.schema[vec_col].dataType
+    exact = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType))
+    v = F.col(vec_col) if exact else F.col(vec_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(_usable(v), v).alias("v")).withColumn("h", F.when(F.col("v").isNotNull(), _hash(F.col("v"))))
+
+    def grouped(of: DataFrame) -> DataFrame:
+        found = of.where("v is not null").groupBy("h", "same").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.min("v").alias("v"), F.max("v").alias("hi"))
+        return materialize(found.select(F.monotonically_increasing_id().alias("node"), F.size("v").alias("dim"), "h", "same", "n", "rep", "v", (F.col("v") == F.col("hi")).alias("one")), "vectors")
+
+    rows = rows.withColumn("same", F.lit(None).cast(rows.schema["v"].dataType))
+    classes = grouped(rows)
+    clash = classes.where("not one").select("h")
+    if not clash.isEmpty():
+        rows = rows.drop("same").join(materialize(clash.withColumn("clash", F.lit(True)), "clashes"), "h", "left").withColumn("same", F.when(F.col("clash"), F.col("v"))).drop("clash")
+        discard(classes)
+        classes = grouped(rows)
+    return rows.select("id", "h", "same"), classes.drop("one")
+
+
+def unit(v: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of one dimension at length 1, in double precision."""
+    x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow of squares
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def choose_pivots(x: np.ndarray, n: int, apart: float) -> np.ndarray:
+    """Up to ``n`` of the unit vectors ``x``, in their order, no two at a cosine of ``apart`` or more."""
+    chosen = np.empty((min(n, len(x)), x.shape[1]))
+    k = 0
+    for at in range(0, len(x), 256):
+        part = x[at : at + 256]
+        free = np.flatnonzero((part @ chosen[:k].T).max(axis=1, initial=-2) < apart)
+        for i in free:
+            if k == len(chosen):
+                return chosen
+            if not k or (chosen[max(0, k - 256) : k] @ part[i]).max() < apart:
+                chosen[k] = part[i]
+                k += 1
+    return chosen[:k]
+
+
+def _pivots(classes: DataFrame, count: int, n_pivots: int | None, threshold: float) -> dict[int, np.ndarray]:
+    """Pivots of each dimension: 2 * sqrt(n) unless given, from twice as many and 1024 vectors of the lowest hashes."""
+    wanted = n_pivots or max(16, math.ceil(2 * math.sqrt(count)))
+    sample = classes.select("dim", "v", F.xxhash64(F.lit("pivot"), "h").alias("o")).orderBy("o", "v").limit(2 * wanted + 1024).toArrow()
+    of_dim = sample.column("dim").to_numpy()
+    out = {}
+    for dim in np.unique(of_dim).tolist():
+        own = sample.filter(pa.array(of_dim == dim)).column("v").combine_chunks()
+        out[dim] = choose_pivots(unit(own, dim), wanted, 2 * threshold * threshold - 1)
+    return out
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, n_pivots: int | None = None, prefix: int = 8, shared: int = 4, shift: int = 6, block: int = 512) -> DataFrame:
     """One row per vector: ``id_col``, ``n_links`` (other vectors at cosine >= threshold found by the index), ``component_id``, ``kept``.
 
-    Every vector is described by its ``prefix`` nearest pivots in order of nearness. Two vectors
-    are candidates if they share at least two of them, that is, if they meet in the inverted
-    list of a pair of pivots; a pair is verified in double precision and counted only in the
-    list of its two smallest shared pivots. Pivots (2 * sqrt(n) unless given) come from a sample
-    of PIVOT_SAMPLE vectors; every vector is indexed. Lists are compared in blocks and give sums
-    and one link per vector, never all pairs. Vectors that are null, empty, zero or hold null or
-    non-finite components link with nothing. Equal vectors are one class, so copies cost
-    nothing; vectors of other dimensions are indexed apart. Repeated rows count as copies.
+    Every vector is described by its ``prefix`` nearest pivots in order of nearness, and stands
+    in the inverted list of each. Two vectors are candidates if at least ``shared`` pivots are
+    common to them at places not over ``shift`` apart; the list of the smallest of these counts
+    the pair, so none counts twice. Lists hold no vectors: only those with a candidate in a list
+    are brought there, and cosines in double precision decide. A long list is compared in
+    blocks, and gives sums and one link per vector, never all pairs.
+
+    Pivots (2 * sqrt(n) unless given) are fitted on 2 * pivots + 1024 vectors in the driver, a
+    bound that grows with the root of the table; no two of them are at twice the angle of
+    ``threshold`` or closer, so near copies share theirs. Every vector is indexed. Vectors of
+    different dimensions never meet; those of a dimension that is not in the sample are all
+    compared. Vectors that are null, empty, zero or hold null or non-finite components link
+    with nothing. Equal vectors are one class, so copies cost nothing. Repeated rows count as
+    copies. An empty table gives no rows; extra columns are dropped.
     """
-    rows = materialize(_prepare(vectors, id_col, vec_col), "units")
-    classes = materialize(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.min("unit").alias("unit")), "vectors")
-    found, edges = [], []
-    for dim, count in sorted((r[0], r[1]) for r in classes.groupBy(F.octet_length("unit")).count().collect()):
-        own = classes.where(F.octet_length("unit") == dim)
-        sample = [bytes(r[0]) for r in own.orderBy(F.xxhash64(F.lit("pivot"), "node"), "node").limit(PIVOT_SAMPLE).select("unit").collect()]
-        pivots = choose_pivots(sample, min(PIVOT_SAMPLE, n_pivots or max(16, math.ceil(2 * math.sqrt(count)))))
-        hits = materialize(_search(own, pivots, threshold, min(prefix, len(pivots)), block), "hits")
-        found.append(hits.groupBy("node").agg(F.sum("links").alias("links")))
-        edges.append(hits.select(F.col("node").alias("src"), F.col("root").alias("dst")))
-    if not found:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    links, all_edges = found[0], edges[0]
-    for f, e in zip(found[1:], edges[1:], strict=True):
-        links, all_edges = links.union(f), all_edges.union(e)
-    roots = components(all_edges)
-    of_node = classes.select("node", "n", "rep").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = of_node.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_node = of_node.join(lowest, "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
-    out = rows.select("id", "node").join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    rows, classes = _classes(vectors, id_col, vec_col)
+    count = classes.count()
+    links, edges = None, None
+    if count > 1:
+        hits = materialize(_search(classes, count, _pivots(classes, count, n_pivots, threshold), threshold, prefix, shared, shift, block), "hits")
+        links = hits.groupBy("node").agg(F.sum("links").alias("links"))
+        edges = components(hits.select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    of_node = classes.select("node", "h", "same", "n", "rep")
+    if links is None:
+        of_node = of_node.withColumn("links", F.lit(0)).withColumn("root", F.col("node"))
+    else:
+        of_node = of_node.join(links, "node", "left").join(edges, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_node = materialize(of_node, "classes")
+    of_node = hot_join(of_node, of_node.groupBy("root").agg(F.min("rep").alias("component_id")), ["root"], ["node"])
+    of_node = materialize(of_node.select("h", "same", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id"), "linked")
+    total = of_node.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = hot_keys(of_node, ["h"], "n", total)
+    side = for_each_piece(of_node.drop("n"), hot, ["h"]).select(F.col("h").alias("__h"), F.col("same").alias("__same"), F.col("__s").alias("__t"), "n_links", "component_id")
+    out = deal(rows, hot, ["h"], ["id"]).join(side, (F.col("h") == F.col("__h")) & (F.col("__s") == F.col("__t")) & F.col("same").eqNullSafe(F.col("__same")), "left")
+    component = F.when(F.col("h").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _search(classes: DataFrame, pivots: np.ndarray, threshold: float, prefix: int, block: int) -> DataFrame:
+def _candidates(starts: np.ndarray, list_of: np.ndarray, own: np.ndarray, allowed, shared: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the same run with enough shared pivots, the smallest of which is the run's own list.
+
+    ``own`` has the pivots of each row in order, -1 after the last. Pairs that meet in a further
+    pivot of larger number are counted; only those with enough meetings are compared in full.
+    """
+    n, prefix = own.shape
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    if (list_of == _NO_PIVOT).any() or shared < 2:  # no other pivot to meet in
+        p, q = pairs_of_runs(starts, n, lambda a, b: np.ones(len(a), dtype=bool))
+    else:
+        row, place = np.nonzero(own > list_of[:, None])
+        key = np.lexsort((own[row, place], run[row]))
+        row, place = row[key], place[key]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (run[row][1:] != run[row][:-1]) | (own[row, place][1:] != own[row, place][:-1])
+        a, b = pairs_of_runs(np.flatnonzero(new), len(row), lambda x, y: np.abs(place[x] - place[y]) <= shift)
+        pair = np.sort(np.minimum(row[a], row[b]) * n + np.maximum(row[a], row[b]))
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        enough = np.diff(np.append(first, len(pair))) >= shared - 1
+        p, q = pair[first[enough]] // n, pair[first[enough]] % n
+    ok = allowed(p, q)
+    p, q = p[ok], q[ok]
+    count, least = np.zeros(len(p), dtype=np.int64), np.full(len(p), _NO_PIVOT, dtype=np.int64)
+    for i in range(prefix):
+        for j in range(max(0, i - shift), min(prefix, i + shift + 1)):
+            same = (own[p, i] == own[q, j]) & (own[p, i] >= 0)
+            count += same
+            np.minimum(least, np.where(same, own[p, i], _NO_PIVOT), out=least)
+    ok = (least == list_of[p]) & (count >= np.minimum(shared, (own[p] >= 0).sum(axis=1)))
+    return p[ok], q[ok]
+
+
+def _search(classes: DataFrame, total: int, pivots: dict[int, np.ndarray], threshold: float, prefix: int, shared: int, shift: int, block: int) -> DataFrame:
     """Partial sums ``(node, links, root)`` over the inverted lists."""
-    first, second = np.triu_indices(prefix, 1) if prefix > 1 else (np.zeros(1, int), np.zeros(1, int))
-    dim = pivots.shape[1]
+    fewest = min((len(p) for p in pivots.values()), default=0)
+    shared = min(shared, prefix)
 
     @lean
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x = np.frombuffer(b"".join(part.column("unit").to_pylist()), "<f8").reshape(-1, dim)
-                near = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int64)
-                near.sort(axis=1)
-                key = (near[:, first] << 32) + near[:, second]
-                rows = pa.array(np.repeat(np.arange(len(x)), key.shape[1]))
-                own = pa.array([r.astype("<i4").tobytes() for r in near], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(part.column(c).take(rows) for c in ("node", "n", "unit")), own.take(rows)], names=["k", "node", "n", "unit", "pivots"])
+        for whole in batches:
+            for dim in np.unique(whole.column("dim").to_numpy()).tolist():
+                batch = whole.filter(pa.array(whole.column("dim").to_numpy() == dim))
+                table = pivots.get(dim, np.zeros((0, dim)))
+                k = min(prefix, len(table))
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    own = np.full((part.num_rows, prefix), -1, dtype=np.int64)
+                    if k:
+                        near = unit(part.column("v"), dim) @ table.T
+                        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                        own[:, :k] = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+                    lists = own[:, :k] if k else np.full((part.num_rows, 1), _NO_PIVOT)
+                    rows = pa.array(np.repeat(np.arange(part.num_rows), lists.shape[1]))
+                    described = pa.array([r.astype("<i4").tobytes() for r in own], type=pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array((dim << 32) + lists.ravel()), part.column("node").take(rows), described.take(rows)], names=["k", "node", "pivots"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+        for t, starts in whole_runs(batches, ["k", "bi", "bj"], 1024):
+            if len(starts) == t.num_rows:
+                continue
+            own = np.frombuffer(b"".join(t.column("pivots").to_pylist()), "<i4").reshape(t.num_rows, prefix).astype(np.int64)
+            b, same = t.column("b").to_numpy(), t.column("bi").to_numpy() == t.column("bj").to_numpy()
+            p, q = _candidates(starts, t.column("k").to_numpy() & _NO_PIVOT, own, lambda x, y: same[x] | (b[x] != b[y]), shared if fewest >= prefix else 1, shift)  # noqa: B023
+            if len(p):
+                yield t, p, q, np.unique(np.concatenate([p, q]))
+
+    @lean
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _, _, rows in runs(batches):
+            yield t.take(pa.array(rows)).combine_chunks().to_batches()[0]
 
     @lean
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in whole_runs(batches, ["k", "bi", "bj"], 4096):
-            n = t.num_rows
-            if len(starts) == n:
-                continue
-            x = np.frombuffer(b"".join(t.column("unit").to_pylist()), "<f8").reshape(n, dim)
-            own = np.frombuffer(b"".join(t.column("pivots").to_pylist()), "<i4").reshape(n, prefix)
-            k, b, copies = (t.column(c).to_numpy() for c in ("k", "b", "n"))
-            same = t.column("bi").to_numpy() == t.column("bj").to_numpy()
-
-            def near(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-                ok = np.flatnonzero(same[p] | (b[p] != b[q]))
-                ok = ok[np.einsum("ij,ij->i", x[p[ok]], x[q[ok]]) >= threshold]
-                shared = (own[p[ok]][:, :, None] == own[q[ok]][:, None, :]).any(axis=2)
-                rank = shared.cumsum(axis=1)
-                low = own[p[ok]][np.arange(len(ok)), (rank == 1).argmax(axis=1)].astype(np.int64)
-                high = own[p[ok]][np.arange(len(ok)), (rank == min(2, prefix)).argmax(axis=1)].astype(np.int64)
-                out = np.zeros(len(p), dtype=bool)
-                out[ok[((low << 32) + high) == k[p[ok]]]] = True
-                return out
-
-            p, q = pairs_of_runs(starts, n, near, 1 << 15)
+        for t, p, q, _ in runs(batches):
+            dim = (t.column("k").to_numpy() >> 32)[p]
+            near = np.zeros(len(p), dtype=bool)
+            for d in np.unique(dim).tolist():
+                of_dim = np.flatnonzero(dim == d)
+                rows, at = np.unique(np.concatenate([p[of_dim], q[of_dim]]), return_inverse=True)
+                x = unit(t.column("v").combine_chunks().take(pa.array(rows)), d)
+                for a in range(0, len(of_dim), 1 << 15):
+                    own = of_dim[a : a + (1 << 15)]
+                    near[own] = np.einsum("ij,ij->i", x[at[a : a + len(own)]], x[at[len(of_dim) + a : len(of_dim) + a + len(own)]]) >= threshold
+            p, q = p[near], q[near]
             if len(p):
+                n, copies, node = t.num_rows, t.column("n").to_numpy(), t.column("node").to_numpy()
                 links = np.bincount(p, weights=copies[q], minlength=n) + np.bincount(q, weights=copies[p], minlength=n)
-                label, node = local_components(n, p, q), t.column("node").to_numpy()
-                some = np.flatnonzero(links)
+                label, some = local_components(n, p, q), np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some].astype(np.int64)), pa.array(node[label[some]])], names=["node", "links", "root"])
 
-    keys = classes.select("node", "n", "unit").mapInArrow(index, "k long, node long, n long, unit binary, pivots binary")
-    return block_pairs(keys, "k", "node", block).select("k", "bi", "bj", "b", "node", "n", "unit", "pivots").mapInArrow(verify, "node long, links long, root long")
+    keys = classes.select("node", "dim", "v").mapInArrow(index, "k long, node long, pivots binary")
+    posted = block_pairs(keys, "k", "node", block, total * prefix).select("k", "bi", "bj", "b", "node", "pivots")
+    found = posted.mapInArrow(members, "k long, bi int, bj int, b int, node long, pivots binary")
+    brought = found.join(classes.select("node", "n", "v"), "node").repartition("k", "bi", "bj").sortWithinPartitions("k", "bi", "bj")
+    return brought.select("k", "bi", "bj", "b", "node", "pivots", "n", "v").mapInArrow(verify, "node long, links long, root long")

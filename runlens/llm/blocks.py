@@ -38,16 +38,28 @@ def for_each_piece(side: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
     return side.join(F.broadcast(hot), on, "left").withColumn("__s", F.explode(pieces)).drop("__p")
 
 
-def block_pairs(keys: DataFrame, key: str, spread: str, block: int = BLOCK) -> DataFrame:
+def hot_join(rows: DataFrame, side: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side`` (one row per key, no other columns in common); rows of a hot key are dealt to pieces by a hash of ``by`` first.
+
+    ``rows`` is read three times, so write it before.
+    """
+    hot = hot_keys(rows.groupBy(*on).agg(F.count("*").alias("__r")), on, "__r", rows.count())
+    return deal(rows, hot, on, by).join(for_each_piece(side, hot, on), [*on, "__s"], how).drop("__s")
+
+
+def block_pairs(keys: DataFrame, key: str, spread: str, block: int = BLOCK, total: int = 0) -> DataFrame:
     """``keys`` sorted into runs ``(key, bi, bj)``, with the own block of each row in ``b``.
 
     A key with at most ``block`` rows is one run. A hotter one has ``ceil(rows / block)``
     blocks, dealt by a hash of ``spread``; every pair of its blocks is a run on its own, so
     each pair of rows meets in some task and no task holds more than about two blocks. The
-    table of hot keys has at most rows / block entries; Spark chooses how to join it.
+    table of keys with blocks has at most rows / block entries; Spark chooses how to join it,
+    and the rows of keys with over 1 / SHARE of all (``total``, or a count) are dealt before.
     """
-    hot = keys.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > block).select(key, F.ceil(F.col("__n") / block).cast("int").alias("__nb"))
-    dealt = keys.join(hot, key, "left").withColumn("__nb", F.coalesce("__nb", F.lit(1)))
+    blocks = keys.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > block).withColumn("__nb", F.ceil(F.col("__n") / block).cast("int"))
+    hot = hot_keys(blocks, [key], "__n", total or keys.count())
+    dealt = deal(keys, hot, [key], [spread]).join(for_each_piece(blocks.select(key, "__nb"), hot, [key]), [key, "__s"], "left")
+    dealt = dealt.withColumn("__nb", F.coalesce("__nb", F.lit(1))).drop("__s")
     dealt = dealt.withColumn("b", F.pmod(F.xxhash64(F.lit(key), spread), F.col("__nb")).cast("int"))
     dealt = dealt.withColumn("__c", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)))
     dealt = dealt.withColumn("bi", F.least("b", "__c")).withColumn("bj", F.greatest("b", "__c")).drop("__nb", "__c")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[str, list[str]] = {}
 _OWNER = [""]
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,21 +25,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. In local mode alone, one in /tmp where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    The folder goes with ``discard``, with ``release`` of its owner, or when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.setdefault(_OWNER[-1], []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these frames. Call it once all that reads them has been written."""
+    for df in frames:
+        path = _FOLDERS.pop(df)
+        for written in _WRITTEN.values():
+            if path in written:
+                written.remove(path)
+        fs, p = _hadoop(df.sparkSession, path)
+        fs.delete(p, True)
 
 
 @contextmanager
@@ -51,10 +79,9 @@ def owned(owner: str) -> Iterator[None]:
 
 def release(spark: SparkSession, owner: str) -> None:
     """Delete what was written for ``owner``. Call it only when no frame built on it is still to be read."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for written in _WRITTEN.pop(owner, []):
-        path = jvm.org.apache.hadoop.fs.Path(written)
-        path.getFileSystem(conf).delete(path, True)
+    for path in _WRITTEN.pop(owner, []):
+        fs, p = _hadoop(spark, path)
+        fs.delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -62,7 +89,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def text_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
-    """Have Spark hand over whole texts in Arrow batches of at most ``rows`` rows that end once they hold ``size`` bytes, so that long texts fit in memory."""
+    """Have Spark hand over whole texts in Arrow batches of at most ``rows`` rows that end once they hold ``size`` bytes, so that long texts fit in memory.
+
+    Spark reads these settings when the plan runs, so they stay set for the session; smaller ones are left alone.
+    """
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         key = f"spark.sql.execution.arrow.{name}"
         found = spark.conf.get(key, None) or "0"

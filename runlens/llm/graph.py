@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .blocks import hot_join
+from .common import discard, materialize
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -29,9 +30,10 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Large-star / small-star contraction (Kiveris et al., SoCC 2014) of ``edges(src, dst)``.
 
     Returns ``(node, root)`` for every node of a link whose component has a smaller id than it;
-    roots and lonely nodes are absent. Nulls, loops and repeated links are ignored. Hot nodes
-    are never gathered: each star is an aggregate (combined before the shuffle) and a join.
-    Raises RuntimeError where ``max_rounds`` rounds do not show the fixed point.
+    roots and lonely nodes are absent. Nulls, loops and repeated links are ignored. A star's
+    least node is an aggregate (combined before the shuffle); where it is joined back, the links
+    of a node with over 1 / SHARE of them are dealt to pieces. A round's links go once the next
+    are written. Raises RuntimeError where ``max_rounds`` rounds do not show the fixed point.
     """
     e = edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     e = materialize(e, "links")
@@ -43,10 +45,12 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         seen = now
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = hot_join(both.where("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "stars")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "links")
+        small = hot_join(large, low, ["u"], ["v"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        before, e = e, materialize(small, "links")
+        discard(before, large)
     else:
         raise RuntimeError(f"components have not converged in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

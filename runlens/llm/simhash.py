@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import block_pairs, pairs_of_runs, whole_runs
-from .common import lean, materialize, text_batches
+from .blocks import block_pairs, deal, for_each_piece, hot_join, hot_keys, pairs_of_runs, whole_runs
+from .common import discard, lean, materialize, text_batches
 from .graph import components, local_components
 
 _LANES = np.uint64(0x0101010101010101)
 _BAND = 4  # min-hashes of a band
-_SEGMENT = 16  # bits of a segment; the key of a bucket is (segment number, its bits)
+_SEGMENT = 4  # bits of a segment of the ring
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -120,32 +120,58 @@ def _popcounts(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int16)
 
 
-def links(fps: DataFrame, words: int, distance: int, chain: int | None = None, block: int = 1024) -> DataFrame:
+def ring_keys(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys of fingerprints, given as rows of bytes, and the ring segment each begins at: arrays (rows, keys) and (keys,).
+
+    The ring has segments of ``_SEGMENT`` bits. From some start no bit differs in as many
+    segments as have a budget of 0, and at most one in those after them that have a budget
+    under 2, so that one half of these agrees too. A key is a start, the first segments and a half.
+    """
+    n, bits = len(fps), np.unpackbits(fps, axis=1)
+    width = bits.shape[1]
+    m = width // _SEGMENT
+    zero = (m if not distance else min(m, -(-m // distance) - 1)) * _SEGMENT
+    one = (m if not distance else min(m, -(-2 * m // distance) - 1)) * _SEGMENT
+    half = (zero + one + 1) // 2
+    out, start = [], []
+    for s in range(m if distance else 1):
+        ring = np.roll(bits, -s * _SEGMENT, axis=1)
+        for side, (a, b) in enumerate(((zero, half), (half, one))[: 1 + (one > half)]):
+            packed = np.packbits(np.concatenate([ring[:, :zero], ring[:, a:b]], axis=1), axis=1)
+            packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+            key = np.full(n, 2 * s + side + 1, dtype=np.uint64)
+            for i in range(packed.shape[1]):
+                key = _mix((key ^ packed[:, i]) + np.uint64(0x9E3779B97F4A7C15))
+            out.append(key)
+            start.append(s)
+    return np.stack(out, axis=1).view(np.int64), np.array(start, dtype=np.int32)
+
+
+def links(fps: DataFrame, words: int, distance: int, chain: int | None = None, block: int = 1024, total: int = 0) -> DataFrame:
     """Links ``(src, dst)`` that connect the distinct fingerprints ``fps(node, fp)`` within ``distance`` bits.
 
-    Pigeonring: the fingerprint is a ring of m 16-bit segments. If at most t bits differ, some
-    start has, for every chain length l, at most l*t/m differences in the l segments from it.
-    Buckets are exact first segments, which is the whole condition for l = 1 if t < m; pairs of
-    a bucket must then hold the chain condition up to ``chain`` segments, and only those left
-    have all bits compared. For t < m no pair is missed; for larger t the first segment may
-    differ in up to t/m bits, and pairs none of whose segments agree are missed. A run of a
-    bucket gives one link for each of its linked fingerprints, not all pairs.
+    Pigeonring: the fingerprint is a ring of m segments of 4 bits. If at most t bits differ,
+    some start has, for every chain length l, at most l*t/m differences in the l segments from
+    it. Fingerprints meet in the buckets of ``ring_keys``; pairs of a bucket must then hold the
+    chain condition up to ``chain`` segments (all by default), and only those left have all
+    bits compared. No pair is missed; ``distance`` must be under m, 16 for 64 bits. With 64 bits
+    and 3 of them differing a key has 30 bits, so that buckets stay short up to 2**30 fingerprints.
+    A run of a bucket gives one link for each of its linked fingerprints, not all pairs.
     """
     m = words * 64 // _SEGMENT
+    if not 0 <= distance < m:
+        raise ValueError(f"distance must be under {m} for {words * 64} bits")
     chain = min(chain or m, m)
+    nibble = np.array([x.bit_count() for x in range(16)], dtype=np.int16)
 
     @lean
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            segments = np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=">u2").reshape(n, m).astype(np.int64)
-            key = (np.arange(m, dtype=np.int64)[None, :] << _SEGMENT) + segments
-            at = pa.array(np.repeat(np.arange(n), m))
-            for a in range(0, n * m, 1 << 16):
-                part = at.slice(a, 1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()[a : a + (1 << 16)]), batch.column("node").take(part), batch.column("fp").take(part)], names=["k", "node", "fp"])
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                key, start = ring_keys(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, words * 8), distance)
+                rows = pa.array(np.repeat(np.arange(part.num_rows), len(start)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(start, part.num_rows)), part.column("node").take(rows), part.column("fp").take(rows)], names=["k", "start", "node", "fp"])
 
     @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,20 +179,18 @@ def links(fps: DataFrame, words: int, distance: int, chain: int | None = None, b
             n = t.num_rows
             if len(starts) == n:
                 continue
-            fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), dtype=">u2").reshape(n, m).astype(np.uint16)
+            fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), dtype=np.uint8).reshape(n, words * 8)
+            segments = np.stack([fp >> 4, fp & 15], axis=2).reshape(n, m)
             wide = fp.view(np.uint64)
-            first = (t.column("k").to_numpy() >> _SEGMENT).astype(np.int64)
+            first = t.column("start").to_numpy().astype(np.int64)
             b, same = t.column("b").to_numpy(), t.column("bi").to_numpy() == t.column("bj").to_numpy()
-            split = not same.all()
 
             def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-                ok = np.arange(len(x))
-                if split:
-                    ok = ok[same[x] | (b[x] != b[y])]
+                ok = np.flatnonzero(same[x] | (b[x] != b[y]))
                 sums = np.zeros(len(ok), dtype=np.int16)
-                for step in range(1, chain):
+                for step in range(chain):
                     s = (first[x[ok]] + step) % m
-                    sums = sums + _popcounts(fp[x[ok], s] ^ fp[y[ok], s])
+                    sums = sums + nibble[segments[x[ok], s] ^ segments[y[ok], s]]
                     keep = sums <= (step + 1) * distance // m
                     ok, sums = ok[keep], sums[keep]
                 full = _popcounts(wide[x[ok]] ^ wide[y[ok]]).sum(axis=1) <= distance
@@ -181,14 +205,15 @@ def links(fps: DataFrame, words: int, distance: int, chain: int | None = None, b
                 moved = np.flatnonzero(label != np.arange(n))
                 yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["src", "dst"])
 
-    keys = fps.select("node", "fp").mapInArrow(explode, "k long, node long, fp binary")
-    return block_pairs(keys, "k", "node", block).select("k", "bi", "bj", "b", "node", "fp").mapInArrow(compare, "src long, dst long")
+    keys = fps.select("node", "fp").mapInArrow(explode, "k long, start int, node long, fp binary")
+    per_row = len(ring_keys(np.zeros((1, words * 8), np.uint8), distance)[1])
+    return block_pairs(keys, "k", "node", block, total * per_row).select("k", "bi", "bj", "b", "start", "node", "fp").mapInArrow(compare, "src long, dst long")
 
 
-def candidates(classes: DataFrame, words: int, similarity: float, block: int = 1024) -> DataFrame:
+def candidates(classes: DataFrame, words: int, similarity: float, block: int = 1024, total: int = 0) -> DataFrame:
     """Links ``(src, dst)`` that connect all sets ``classes(node, fp, bands, size)`` that may have a Jaccard of ``similarity``.
 
-    Sets meet where they agree in a band. A pair of them is a candidate within the distance that
+    Sets meet where they agree in a band. ``total`` is the number of their bands, counted unless given. A pair of them is a candidate within the distance that
     stands for ``similarity`` and 6.5 standard deviations of it; sets under 32 shingles, whose
     bits tie often, at any distance.
     """
@@ -228,7 +253,7 @@ def candidates(classes: DataFrame, words: int, similarity: float, block: int = 1
                 yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["src", "dst"])
 
     keys = classes.select("node", "fp", "bands", "size").mapInArrow(explode, "k long, node long, fp binary, size long")
-    return block_pairs(keys, "k", "node", block).select("k", "bi", "bj", "node", "fp", "size").mapInArrow(compare, "src long, dst long")
+    return block_pairs(keys, "k", "node", block, total).select("k", "bi", "bj", "node", "fp", "size").mapInArrow(compare, "src long, dst long")
 
 
 def similar(groups: DataFrame, shingle: int, similarity: float, block: int = 256) -> DataFrame:
@@ -279,22 +304,27 @@ def _members(roots: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, text_col: str = "text", whole: bool = True, shingle: int = 5, words: int = 8, distance: int | None = None, similarity: float = 0.8, chain: int | None = 4, distinct: bool = True, block: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """``fingerprints`` of ``docs``, written, and the component of each class: ``(__class, __root)``."""
+    """``fingerprints`` of ``docs``, written, and the component of each class with its number of rows, written: ``(__class, __root, __n)``."""
     exact = distance is None
     bands = math.ceil(math.log(1e-7) / math.log(1 - similarity**_BAND)) if exact and similarity < 1 else int(exact)
     rows = fingerprints(docs, text_col, shingle, words, distinct or exact, bands)
     rows = materialize(rows if exact or whole else rows.drop(text_col), "fingerprints")
-    classes = rows.groupBy("__class").agg(F.min("__row").alias("row"), F.first(F.struct("__fp", "__bands", "__size")).alias("x"))
-    classes = classes.select("__class", "row", F.col("x.__fp").alias("fp"), F.col("x.__bands").alias("bands"), F.col("x.__size").alias("size"), F.monotonically_increasing_id().alias("node"))
+    classes = rows.groupBy("__class").agg(F.min("__row").alias("row"), F.count("*").alias("n"), F.first(F.struct("__fp", "__bands", "__size")).alias("x"))
+    classes = classes.select("__class", "row", "n", F.col("x.__fp").alias("fp"), F.col("x.__bands").alias("bands"), F.col("x.__size").alias("size"), F.monotonically_increasing_id().alias("node"))
     classes = materialize(classes, "classes")
+    total = classes.count()
     if exact:
-        found = _members(components(candidates(classes, words, similarity, block)))
+        found = _members(components(candidates(classes, words, similarity, block, total * bands)))
         of_row = classes.select("node", "row").join(found, "node")
         texts = rows.select(F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text"))
-        roots = components(similar(materialize(texts.join(of_row, "row").select("root", "node", "text"), "candidates"), shingle, similarity))
+        met = materialize(texts.join(of_row, "row").select("root", "node", "text"), "candidates")
+        roots = components(similar(met, shingle, similarity))
+        discard(met)
     else:
-        roots = components(links(classes, words, distance, chain, block))
-    of_class = classes.select("__class", "node").join(_members(roots), "node", "left").select("__class", F.coalesce("root", "node").alias("__root"))
+        roots = components(links(classes, words, distance, chain, block, total))
+    of_class = classes.select("__class", F.col("n").alias("__n"), "node").join(_members(roots), "node", "left").select("__class", F.coalesce("root", "node").alias("__root"), "__n")
+    of_class = materialize(of_class, "roots")
+    discard(classes)
     return rows, of_class
 
 
@@ -309,9 +339,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows are repeated. Empty table: no rows.
     """
     rows, of_class = _grouped(docs.select(id_col, text_col), text_col, False, **how)
-    lowest = rows.groupBy("__class").agg(F.min(id_col).alias("rep")).join(of_class, "__class").groupBy("__root").agg(F.min("rep").alias("component_id"))
-    of_class = materialize(of_class.join(lowest, "__root").select("__class", "component_id"), "components")
-    return rows.join(of_class, "__class").select(id_col, F.col("__fp").alias("fp"), "component_id")
+    low = materialize(rows.groupBy("__class").agg(F.min(id_col).alias("rep")).join(of_class, "__class"), "least")
+    low = hot_join(low.select("__class", "__root", "__n"), low.groupBy("__root").agg(F.min("rep").alias("component_id")), ["__root"], ["__class"])
+    low = materialize(low.select("__class", "__n", "component_id"), "components")
+    hot = hot_keys(low, ["__class"], "__n", low.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0])
+    out = deal(rows, hot, ["__class"], ["__row"]).join(for_each_piece(low.drop("__n"), hot, ["__class"]), ["__class", "__s"])
+    return out.select(id_col, F.col("__fp").alias("fp"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Suffix-array dedup (9): byte strings that repeat, found through longest-previous-factor tests.
+"""Suffix-array dedup (9): byte strings that repeat, found through longest-previous-factor arrays.
 
 One suffix array over the corpus would be one task. Instead, every window of ``length`` bytes
 has an anchor that depends on nothing but its own bytes (the least hashed ``gram`` within it),
 so equal windows have equal anchors and meet in the group of that anchor. An anchor owns a
-short run of windows, its context; most groups are settled by counting equal contexts. Only
-groups with several contexts are opened, and there the suffixes of all contexts are ranked.
+short run of windows, its context. Contexts with equal bytes (by two 64-bit hashes, of the
+anchor and of all bytes) are one; the suffixes of the different contexts of a group are
+sorted, and their longest previous factors tell which windows repeat. A group of too many
+contexts for one task is divided by a second anchor, and so on.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import deal, for_each_piece, hot_keys, whole_runs
-from .common import lean, materialize, text_batches
+from .common import discard, lean, materialize, text_batches
 
 _PIECE = 1 << 20  # bytes hashed at once; positions in a piece fit in the low bits of a value
 _LOW = np.uint64(_PIECE - 1)
+_NONE = np.uint64((1 << 64) - 1)
 _FACTOR = 0x9E3779B97F4A7C15 | 1
-#: A group with more contexts than this (about 300 bytes each) is too much for one task: its windows are counted by hash, combined before the shuffle.
+#: A group with more different contexts than this (about 300 bytes each) is divided before its suffixes are sorted.
 HOT = 8192
 
 
@@ -55,11 +58,13 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors_of(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+def anchors_of(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, gram: int, above: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Anchors of the windows of ``length`` bytes in segments [begin, end) of a piece.
 
     Returns segment, anchor position, first window, number of windows, hash of the gram, hash
-    of the context (all bytes of the windows, and where the anchor lies in them).
+    of the context (all bytes of the windows, and where the anchor lies in them). With
+    ``above``, a value for each byte, only grams are anchors whose hash is over it, low bits
+    apart; a window without any is a context of its own, with the gram hash ``_NONE``.
     """
     none = tuple(np.zeros(0, dtype=np.int64) for _ in range(4)) + tuple(np.zeros(0, dtype=np.uint64) for _ in range(2))
     n = len(data)
@@ -68,6 +73,8 @@ def anchors_of(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: i
     _, _, inverse = _tables()
     p = prefix_hashes(data)
     grams = _mix((p[gram:] - p[:-gram]) * inverse[: n - gram + 1])
+    if above is not None:
+        grams = np.where((grams & ~_LOW) > (above[: len(grams)] & ~_LOW), grams, _NONE)
     least = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
     span, width = length - gram + 1, 1
     while width * 2 <= span:
@@ -142,24 +149,65 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def earlier_matches(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes that tie with another one, and those with a match at a smaller place.
+def common_prefixes(data: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """How many bytes the suffixes at a[i] and b[i] have in common, up to ``depth``."""
+    padded = np.zeros(len(data) + 16, dtype=np.uint8)
+    padded[: len(data)] = data
+    word = np.zeros(len(data) + 8, dtype=np.uint64)
+    for i in range(8):
+        word = (word << np.uint64(8)) | padded[i : i + len(word)]
+    out, todo, at = np.full(len(a), depth, dtype=np.int64), np.arange(len(a)), 0
+    while len(todo) and at < depth:
+        x, y = (np.minimum(p[todo] + at, len(data)) for p in (a, b))
+        differ = word[x] ^ word[y]
+        end = differ != 0
+        same = np.zeros(int(end.sum()), dtype=np.int64)
+        for i in range(1, 8):
+            same += differ[end] < np.uint64(1 << (64 - 8 * i))
+        out[todo[end]] = at + same
+        todo, at = todo[~end], at + 8
+    return np.minimum(np.minimum(out, depth), len(data) - np.maximum(a, b))
+
+
+def longest_previous_factors(order: np.ndarray, shared: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """LPF array: the longest prefix of each suffix that also begins at a smaller place.
+
+    ``order`` is the suffix order and ``shared[i]`` what its i-th suffix has in common with the
+    one before. The longest earlier match of a suffix is with the previous or the next one of a
+    smaller place in suffix order; both are found for all suffixes at once by following the
+    links of larger places, the shared prefix of a link being the least on its way.
+    """
+    best = np.zeros(len(order), dtype=np.int64)
+    for backward in (False, True):
+        at = place[order][::-1] if backward else place[order]
+        reach = np.concatenate([[0], shared[:0:-1]]) if backward else np.concatenate([[0], shared[1:]])
+        to = np.arange(len(at)) - 1
+        todo = np.flatnonzero((to >= 0) & (at[to] >= at))
+        while len(todo):
+            over = to[todo]
+            reach[todo] = np.minimum(reach[todo], reach[over])
+            to[todo] = to[over]
+            todo = todo[(to[todo] >= 0) & (at[to[todo]] >= at[todo])]
+        np.maximum(best, reach[::-1] if backward else reach, out=best)
+    out = np.empty_like(best)
+    out[order] = best
+    return out
+
+
+def window_matches(data: np.ndarray, begin: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows of ``depth`` bytes at ``begin``: which occur again, and which have a match at a smaller place.
 
-    In suffix order the suffixes that share the whole depth are a run. The longest previous
-    factor of a suffix comes from the previous or the next smaller place in suffix order; it
-    reaches the depth exactly if one of them lies in the run, that is, if the suffix is not the
-    least place of its run.
+    A window has one exactly if its longest previous factor reaches ``depth``; it occurs again
+    exactly if it shares so much with a neighbour in suffix order.
     """
-    order = np.argsort(rank * (int(place.max(initial=0)) + 1) + place)
-    run = np.ones(len(rank), dtype=bool)
-    run[1:] = rank[order][1:] != rank[order][:-1]
-    first = np.flatnonzero(run)
-    size = np.diff(np.append(first, len(rank)))
-    repeated, later = np.zeros(len(rank), dtype=bool), np.zeros(len(rank), dtype=bool)
-    repeated[order] = np.repeat(size > 1, size)
-    least = np.repeat(place[order][first], size)
-    later[order] = place[order] > least
-    return repeated, later
+    rank = suffix_ranks(data, depth)[begin]
+    order = np.argsort(rank * (int(place.max(initial=0)) + 1) + (int(place.max(initial=0)) - place))
+    shared = np.zeros(len(order), dtype=np.int64)
+    shared[1:] = common_prefixes(data, begin[order[:-1]], begin[order[1:]], depth)
+    repeated = np.zeros(len(order), dtype=bool)
+    again = shared >= depth
+    repeated[order] = again | np.append(again[1:], False)
+    return repeated, longest_previous_factors(order, shared, place) >= depth
 
 
 def _one_of_each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -227,7 +275,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def _masks_by_suffixes(contexts: DataFrame, length: int) -> DataFrame:
-    """(g, c, repeated, later): a bit per window of each context, by the suffix order of the group's contexts."""
+    """(g, c, repeated, later): a bit per window of each context ``(g, c, id, at, bytes)``, by the suffix order of the group's contexts."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,58 +288,87 @@ def _masks_by_suffixes(contexts: DataFrame, length: int) -> DataFrame:
                 t = t.filter(pa.array(~again)).combine_chunks()
             parts = t.column("bytes").to_pylist()
             size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-            begin = np.cumsum(size) - size
-            pk = t.column("pk").to_numpy()
-            count = size - length + 1
-            rank = suffix_ranks(np.frombuffer(b"".join(parts), dtype=np.uint8), length)
+            begin, count = np.cumsum(size) - size, size - length + 1
             row = np.repeat(np.arange(len(parts)), count)
             within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            # places in order of document and position
-            doc = t.column("id").to_numpy()
-            by = np.lexsort(((pk >> 16) - (pk >> 8 & 255), doc))
-            rank_of_row = np.empty(len(parts), dtype=np.int64)
-            rank_of_row[by] = np.arange(len(parts))
-            repeated, later = earlier_matches(rank[begin[row] + within], rank_of_row[row])
+            # places in order of document and position; windows of one context never equal each other
+            ids = t.column("id").fill_null(np.iinfo(np.int64).min).to_numpy()
+            place = np.empty(len(parts), dtype=np.int64)
+            place[np.lexsort((t.column("at").to_numpy(), ids))] = np.arange(len(parts))
+            found = window_matches(np.frombuffer(b"".join(parts), dtype=np.uint8), begin[row] + within, place[row], length)
             ends = np.cumsum(count)
-            bits = [[np.packbits(x[b - n : b]).tobytes() for b, n in zip(ends, count, strict=True)] for x in (repeated, later)]
+            bits = [[np.packbits(x[b - n : b]).tobytes() for b, n in zip(ends, count, strict=True)] for x in found]
             yield pa.RecordBatch.from_arrays([t.column("g").combine_chunks(), t.column("c").combine_chunks(), pa.array(bits[0], pa.binary()), pa.array(bits[1], pa.binary())], names=["g", "c", "repeated", "later"])
 
-    return contexts.repartition("g").sortWithinPartitions("g").select("g", "c", "id", "pk", "bytes").mapInArrow(run, "g long, c long, repeated binary, later binary")
+    return contexts.repartition("g").sortWithinPartitions("g").select("g", "c", "id", "at", "bytes").mapInArrow(run, "g long, c long, repeated binary, later binary")
 
 
-def _masks_by_counts(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for hot groups: equal windows are found by hash and counted with sums made before the shuffle."""
+def _divided(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Contexts cut into those of the next anchor of their windows, ``floor`` being the hash of the last one; ``g`` becomes that of both anchors."""
 
     @lean
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, inverse = _tables()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("bytes")[i].as_py(), dtype=np.uint8)
-                p = prefix_hashes(data)
-                n = len(data) - length + 1
-                pk = batch.column("pk")[i].as_py()
-                start = (pk >> 16) - (pk >> 8 & 255)
-                yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(x)[i].as_py()] * n, pa.int64()) for x in ("g", "c", "id")), pa.array(np.arange(start, start + n)), pa.array(np.arange(n)), pa.array(_mix((p[length:] - p[:n]) * inverse[:n]).view(np.int64))], names=["g", "c", "id", "at", "k", "h"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                parts = batch.column("bytes").to_pylist()
+                size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+                ends = np.cumsum(size)
+                floor, g = (batch.column(x).to_numpy().view(np.uint64) for x in ("floor", "g"))
+                data = b"".join(parts)
+                own, _, first, n, new, c = anchors_of(np.frombuffer(data, np.uint8), ends - size, ends, length, gram, np.repeat(floor, size))
+                stop, off = first + n - 1 + length, first - (ends - size)[own]
+                rows = pa.array(own)
+                moved = [pa.array(batch.column(x).to_numpy()[own] + off) for x in ("k", "at")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(rows) for x in ("pg", "pc", "id")), *moved, pa.array(_mix(g[own] ^ _mix(new)).view(np.int64)), pa.array(c.view(np.int64)), pa.array(new.view(np.int64)), pa.array([data[a:b] for a, b in zip(first, stop, strict=True)], pa.binary())], names=["pg", "pc", "id", "k", "at", "g", "c", "floor", "bytes"])
+
+    return contexts.select("pg", "pc", "id", "k", "at", "g", "c", "floor", "bytes").mapInArrow(run, "pg long, pc long, id long, k long, at long, g long, c long, floor long, bytes binary")
+
+
+def _masks_of_hot_groups(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same for groups that are too much for one task: divided by further anchors until none is, then joined again."""
+    level = contexts.select(F.col("g").alias("pg"), F.col("c").alias("pc"), "id", F.lit(0).cast("long").alias("k"), "at", "g", "c", F.col("g").alias("floor"), "bytes")
+    marks = []
+    while not level.isEmpty():
+        parts = materialize(_divided(level, length, gram), "parts")
+        first = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("i"), "at", "pg", "pc", "k")
+        classes = materialize(parts.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(first).alias("rep")), "part-classes")
+        groups = materialize(classes.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "part-groups")
+        hot = hot_keys(classes, ["g", "c"], "n", parts.count())
+        whole = deal(parts, hot, ["g", "c"], ["pg", "pc", "k"]).join(for_each_piece(classes, hot, ["g", "c"]), ["g", "c", "__s"]).drop("__s")
+        whole = materialize(whole.withColumn("first", first == F.col("rep")).drop("rep"), "part-marks")
+        marks.append(whole.where("n > 1").select("pg", "pc", "k", (F.octet_length("bytes") - length + 1).alias("size"), F.lit(True).alias("many"), "first", F.lit(None).cast("binary").alias("repeated"), F.lit(None).cast("binary").alias("later")))
+        one = whole.where("first")
+        hot = hot_keys(groups, ["g"], "m", classes.count())
+        one = materialize(deal(one, hot, ["g"], ["c"]).join(for_each_piece(groups, hot, ["g"]), ["g", "__s"]).drop("__s"), "part-contexts")
+        wide = (F.col("m") > HOT) & (F.col("floor") != -1)  # windows without a further anchor are few
+        bits = _masks_by_suffixes(one.where(~wide), length).withColumnRenamed("g", "__g").withColumnRenamed("c", "__c")
+        mixed = one.where(~wide).join(bits, (F.col("g") == F.col("__g")) & (F.col("c") == F.col("__c")))
+        marks.append(mixed.select("pg", "pc", "k", (F.octet_length("bytes") - length + 1).alias("size"), F.lit(False).alias("many"), F.lit(True).alias("first"), "repeated", "later"))
+        level = one.where(wide)
 
     @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[bytes]] = [[], []]
-            for w in batch.column("w").to_pylist():
-                n = max(x["k"] for x in w) + 1
-                for name, to in zip(("repeated", "later"), out, strict=True):
-                    bits = np.zeros(n, dtype=bool)
-                    bits[[x["k"] for x in w if x[name]]] = True
-                    to.append(np.packbits(bits).tobytes())
+            for n, w in zip(batch.column("size").to_pylist(), batch.column("w").to_pylist(), strict=True):
+                bits = {"repeated": np.zeros(n, dtype=bool), "later": np.zeros(n, dtype=bool)}
+                for x in w or []:
+                    for name, all_of_it in (("repeated", x["many"]), ("later", not x["first"])):
+                        own = np.ones(x["size"], dtype=bool) if all_of_it else np.unpackbits(np.frombuffer(x[name] or b"\0" * 32, np.uint8))[: x["size"]].astype(bool)
+                        bits[name][x["k"] : x["k"] + x["size"]] |= own
+                for to, x in zip(out, bits.values(), strict=True):
+                    to.append(np.packbits(x).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("c"), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["g", "c", "repeated", "later"])
 
-    every = contexts.mapInArrow(windows, "g long, c long, id long, at long, k long, h long")
-    classes = every.groupBy("g", "h").agg((F.min("c") != F.max("c")).alias("repeated"), F.min(F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "at")).alias("first"), F.count("*").alias("r")).where("repeated")
-    classes = materialize(classes, "window-classes")
-    hot = hot_keys(classes, ["g", "h"], "r", classes.agg(F.sum("r")).first()[0] or 0)
-    judged = deal(every, hot, ["g", "h"], ["c"]).join(for_each_piece(classes.drop("r"), hot, ["g", "h"]), ["g", "h", "__s"], "left").select("g", "c", F.struct("k", F.coalesce("repeated", F.lit(False)).alias("repeated"), F.coalesce(F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "at") > F.col("first"), F.lit(False)).alias("later")).alias("w"))
-    return judged.groupBy("g", "c").agg(F.collect_list("w").alias("w")).mapInArrow(pack, "g long, c long, repeated binary, later binary")
+    if not marks:
+        return contexts.select("g", "c", F.col("bytes").alias("repeated"), F.col("bytes").alias("later"))  # there are none
+    every = marks[0]
+    for x in marks[1:]:
+        every = every.union(x)
+    found = every.groupBy("pg", "pc").agg(F.collect_list(F.struct("k", "size", "many", "first", "repeated", "later")).alias("w"))
+    sized = contexts.select("g", "c", (F.octet_length("bytes") - length + 1).alias("size")).distinct()
+    return sized.join(found, (F.col("g") == F.col("pg")) & (F.col("c") == F.col("pc")), "left").select("g", "c", "size", "w").mapInArrow(pack, "g long, c long, repeated binary, later binary")
 
 
 def repeats(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
@@ -309,15 +386,18 @@ def repeats(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFra
     by_place = ["c", "t1", "t2", "pk"]
     again = deal(anchors, hot, ["g"], by_place).join(for_each_piece(keys.select("g"), hot, ["g"]), ["g", "__s"])
     places = materialize(again.groupBy("g", "__s", *by_place).agg(F.sum("n").alias("n"), F.min("id").alias("id")).drop("__s"), "places")
+    discard(anchors, keys)
     order = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), (F.shiftright("pk", 16) - F.shiftright("pk", 8).bitwiseAND(255)).alias("at"), "t1", "t2", "pk", F.col("id").alias("own"))
     contexts = materialize(places.groupBy("g", "c").agg(F.sum("n").alias("n"), F.count("*").alias("r"), F.min(order).alias("rep")), "contexts")
     mixed = materialize(contexts.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
     hot = hot_keys(mixed, ["g"], "m", contexts.count())
     wanted = deal(contexts, hot, ["g"], ["c"]).join(for_each_piece(mixed, hot, ["g"]), ["g", "__s"]).select("g", "c", "m", "rep.t1", "rep.t2", "rep.pk", F.col("rep.own").alias("id"))
     wanted = materialize(wanted, "wanted")
-    found = materialize(_contexts(docs, wanted, length), "context-bytes")
-    masks = _masks_by_suffixes(found.where(F.col("m") <= HOT), length).union(_masks_by_counts(found.where(F.col("m") > HOT).select("g", "c", "id", "pk", "bytes"), length))
+    found = materialize(_contexts(docs, wanted, length).withColumn("at", F.shiftright("pk", 16) - F.shiftright("pk", 8).bitwiseAND(255)), "context-bytes")
+    discard(wanted)
+    masks = _masks_by_suffixes(found.where(F.col("m") <= HOT), length).union(_masks_of_hot_groups(found.where(F.col("m") > HOT), length, gram))
     known = materialize(contexts.join(masks, ["g", "c"], "left").where("n > 1 or repeated is not null"), "masks")
+    discard(found, mixed)
     hot = hot_keys(contexts, ["g", "c"], "r", places.count())
     marked = deal(places.select("g", "c", "t1", "t2", "pk", "id"), hot, ["g", "c"], ["t1", "t2", "pk"])
     marked = marked.join(for_each_piece(known.drop("r"), hot, ["g", "c"]), ["g", "c", "__s"]).drop("__s")

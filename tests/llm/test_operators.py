@@ -467,7 +467,7 @@ def cut_bytes(all_texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "hot"), [(200, 32, 8192), (60, 16, 8192), (60, 16, 1)])
+@pytest.mark.parametrize(("length", "gram", "hot"), [(200, 32, 8192), (60, 16, 8192), (60, 16, 3)])
 def test_repeats_exactly(spark, monkeypatch, length, gram, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
     rows = repeated()
@@ -507,7 +507,7 @@ def test_long_text_over_pieces(spark, monkeypatch):
         assert by_text.setdefault(data[w : w + 200].tobytes(), v) == v  # equal windows have one anchor
 
 
-@pytest.mark.parametrize("hot", [8192, 1])
+@pytest.mark.parametrize("hot", [8192, 2])
 def test_first_copies_stay(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
     rng = random.Random(11)
@@ -529,12 +529,27 @@ def test_suffix_ranks(data, depth):
     tails = [data[i : i + depth] for i in range(len(data))]
     full = [i for i in range(len(data)) if len(tails[i]) == depth]
     assert all((rank[i] < rank[j]) == (tails[i] < tails[j]) and (rank[i] == rank[j]) == (tails[i] == tails[j]) for i in full for j in full)
-    repeated_, later = suffix.earlier_matches(rank[full], np.array(full, dtype=np.int64))
+    repeated_, later = suffix.window_matches(np.frombuffer(data, np.uint8), np.array(full, dtype=np.int64), np.array(full, dtype=np.int64), depth) if full else ([], [])
     for n, i in enumerate(full):
         assert later[n] == any(tails[j] == tails[i] for j in full if j < i)
         assert repeated_[n] == any(tails[j] == tails[i] for j in full if j != i)
 
 
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 200]), min_size=1, max_size=90), st.randoms(use_true_random=False))
+@settings(max_examples=200, deadline=None)
+def test_longest_previous_factors(values, rng):
+    data = bytes(values)
+    n, depth = len(data), 20
+    place = list(range(n))
+    rng.shuffle(place)
+    shared = lambda i, j: next((k for k in range(depth) if max(i, j) + k >= n or data[i + k] != data[j + k]), depth)
+    order = sorted(range(n), key=lambda i: data[i : i + depth])
+    lcp = suffix.common_prefixes(np.frombuffer(data, np.uint8), np.array(order[:-1], dtype=np.int64), np.array(order[1:], dtype=np.int64), depth)
+    assert lcp.tolist() == [shared(i, j) for i, j in zip(order, order[1:], strict=False)]
+    got = suffix.longest_previous_factors(np.array(order), np.concatenate([[0], lcp]), np.array(place))
+    assert got.tolist() == [max((shared(i, j) for j in range(n) if place[j] < place[i]), default=0) for i in range(n)]
+
+
 # -- HTML --------------------------------------------------------------------------------------
 
 LONG = "Plain words of an article that go on for quite a while, long enough to count as text. "

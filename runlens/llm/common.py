@@ -84,6 +84,14 @@ def release(spark: SparkSession, owner: str) -> None:
         fs.delete(p, True)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores before it as no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, text_batches
+from .common import lean, text_batches, unused
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul br".split())
 _DROPPED = frozenset("head script style noscript template iframe object svg canvas audio video nav footer aside form button select option textarea input dialog menu".split())
 _ENDS_P = _BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
+#: Tags that close an open one of these tags, unless one of the others is open inside it.
+_ENDS_LIKE = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "option": (("option",), ("select",))}
 _NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu sidebar rail aside masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus replies reactions share sharing social related recommended recommendations widget pagination pager skip footer copyright banner".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 
@@ -30,6 +32,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.dropped, self.noise = [-1], ["#root"], [False], [False]
         self.open = [0]
+        self.at: dict[str, list[int]] = {}  # where in ``open`` elements of each tag are
         self.text: list[tuple[str, int, bool]] = []
         self.tags = self.in_link = 0
         self.raw: list[tuple[list[tuple[str, int, bool]], int, int]] = []
@@ -41,9 +44,15 @@ class _Lines(HTMLParser):
             self.text = []
         self.tags = 0
 
+    def _inside(self) -> bool:
+        return bool(self.at.get("article") or self.at.get("main"))
+
+    def _last(self, tags: tuple[str, ...]) -> int:
+        """Where the innermost open element of one of these tags is; -1 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
     def _noise(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        inside = any(self.tag[i] in ("article", "main") for i in self.open)
-        if tag in _DROPPED or tag == "header" and not inside:
+        if tag in _DROPPED or tag == "header" and not self._inside():
             return True
         a = {k: (v or "").lower() for k, v in attrs}
         if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or a.get("role") in _NOISE_ROLES:
@@ -55,35 +64,31 @@ class _Lines(HTMLParser):
         if tag in ("html", "body", "main"):
             return False
         names = set(" ".join(v or "" for k, v in attrs if k in ("class", "id")).lower().split())
-        return bool(names & _NOISE) or "header" in names and not any(self.tag[i] in ("article", "main") for i in self.open)
+        return bool(names & _NOISE) or "header" in names and not self._inside()
 
     def _pop_to(self, at: int) -> None:
         for i in self.open[at:]:
             self.in_link -= self.tag[i] == "a"
+            self.at[self.tag[i]].pop()
         del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCK:
             self._line()
         self.tags += 1
-        names = [self.tag[i] for i in self.open]
-        if tag in _ENDS_P and "p" in names:
-            self._pop_to(len(names) - 1 - names[::-1].index("p"))
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            scope = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}.get(tag, ("table",))
-            alike = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}.get(tag, (tag,))
-            for at in range(len(names) - 1, 0, -1):
-                if names[at] in scope:
-                    break
-                if names[at] in alike:
-                    self._pop_to(at)
-                    break
+        if tag in _ENDS_P and (at := self._last(("p",))) > 0:
+            self._pop_to(at)
+        elif tag in _ENDS_LIKE:
+            alike, scope = _ENDS_LIKE[tag]
+            if (at := self._last(alike)) > self._last(scope):
+                self._pop_to(at)
         if tag in _VOID:
             return
         self.parent.append(self.open[-1])
         self.tag.append(tag)
         self.dropped.append(self.dropped[self.open[-1]] or self._noise(tag, attrs))
         self.noise.append(self._named(tag, attrs))
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append(len(self.tag) - 1)
         self.in_link += tag == "a"
 
@@ -91,10 +96,8 @@ class _Lines(HTMLParser):
         if tag in _BLOCK:
             self._line()
         self.tags += 1
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[at]] == tag:
-                self._pop_to(at)
-                return
+        if (at := self._last((tag,))) > 0:
+            self._pop_to(at)
 
     def handle_data(self, data: str) -> None:
         if not self.dropped[self.open[-1]]:
@@ -198,7 +201,11 @@ def extract_text(html: str | None, sigma: float = 1.0, strength: float = 0.5, sh
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
-    """``pages`` with the main text of each in ``out`` in place of ``html_col``; other columns stay, and rows are independent."""
+    """``pages`` with the main text of each in ``out`` in place of ``html_col``; other columns stay, and rows are independent.
+
+    Null, empty and text-free pages have an empty text; ``out`` replaces a column of that name;
+    repeated rows stay repeated; an empty table gives no rows. Time grows with the page's length alone.
+    """
     text_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c not in (html_col, out)]
     schema = T.StructType([*pages.select(*keep).schema.fields, T.StructField(out, T.StringType())])
@@ -206,7 +213,7 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> Data
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = pa.array([extract_text(h.as_py()) for h in batch.column("__html")], type=pa.string())
+            text = pa.array([extract_text(h.as_py()) for h in batch.column(len(keep))], type=pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), text], names=[*keep, out])
 
-    return pages.select(*keep, F.col(html_col).cast("string").alias("__html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.col(html_col).cast("string").alias(unused(keep, "__html"))).mapInArrow(run, schema)

@@ -70,8 +70,8 @@ class Voters:
             {"=": self.whole, "^": begins.setdefault(len(f) - 1, {}), "$": ends.setdefault(len(f) - 1, {})}[f[0]][f[1:]] = i
         self.begins, self.ends = ([(n, d) for n, d in x.items() if d] for x in (begins, ends))
 
-    def hits(self, text: str | None) -> tuple[np.ndarray, int, int, np.ndarray]:
-        """Which voters fire; hits of lexicon entries in all; number of words; hits of each entry, up to 255."""
+    def hits(self, text: str | None) -> tuple[np.ndarray, int, int]:
+        """Which voters fire; hits of lexicon entries in all; number of words."""
         out = np.zeros(self.model.n_voters, dtype=np.int8)
         each = np.zeros(len(self.model.lexicon), dtype=np.int64)
         words = _WORD.findall((text or "").lower())
@@ -86,12 +86,11 @@ class Voters:
             for w, k in counts.items():
                 if (i := entries.get(w[-n:])) is not None and len(w) > n:
                     each[i] += k
-        np.minimum(each, 255, out=each)
         out[: len(each)] = each > 0
         for i, p in enumerate(self.compiled, len(each)):
             if text and p.search(text):
                 out[i] = 1
-        return out, int(each.sum()), len(words), each.astype(np.uint8)
+        return out, int(each.sum()), len(words)
 
     @staticmethod
     def inputs(votes: np.ndarray, total: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -187,15 +186,20 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000, max_voters: int = 96, max_entries: int = 600, min_precision: float = 0.7) -> Model:
     """Fit voters, label model and classifier on at most ``max_labelled`` labelled rows outside the held-out fold.
 
-    Those rows (lowest hashes of the id; of repeated labels the largest counts) propose the
-    lexicon: words and word pieces that are far commoner in toxic texts. The label model then
-    sees only votes and gives each row a posterior; the linear classifier learns those. Nothing
-    else of a row is used. Without usable labels the scorer has pattern voters only.
+    Those rows (lowest hashes of the id; of repeated labels the largest counts, of repeated ids
+    the least text) are used four ways: their labels propose the lexicon, words and word pieces
+    that are far commoner in toxic texts (at most ``max_entries`` are tried and ``max_voters``
+    kept, which is the model's size); their votes are what the label model sees, with the labels
+    as a prior worth a quarter row each; its posteriors are what the linear classifier learns;
+    and the threshold is placed where their labels are met best. Ids, languages and sources are
+    never inputs. Null labels and ids are left out, null texts have no words. Without usable
+    labels the scorer has pattern voters only.
     """
     text_batches(docs.sparkSession)
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
-    sample = materialize(docs.select(id_col, F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), id_col).select("__text", "__y"), "labelled")
+    texts = docs.select(id_col, F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), id_col)
+    sample = materialize(texts.groupBy(id_col).agg(F.min("__text").alias("__text"), F.max("__y").alias("__y")).select("__text", "__y"), "labelled")
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,30 +229,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         lexicon = {r[0]: i for i, r in enumerate(strong.orderBy(gain.desc(), F.length("f").desc(), "f").limit(max_entries).select("f").collect())}
     proposed = Model(lexicon, list(PATTERNS))
 
-    @lean
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters = Voters(proposed)
-        for batch in batches:
-            got = [voters.hits(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([np.packbits(g[0]).tobytes() for g in got], pa.binary()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3].tobytes() for g in got], pa.binary())], names=["y", "votes", "words", "counts"])
+    def votes_of(model: Model) -> pa.Table:
+        """``(y, votes, total, words)``: at most ``max_labelled`` rows of fixed width."""
+
+        @lean
+        def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            voters = Voters(model)
+            for batch in batches:
+                got = [voters.hits(t) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([np.packbits(g[0]).tobytes() for g in got], pa.binary()), *(pa.array([g[i] for g in got], pa.int64()) for i in (1, 2))], names=["y", "votes", "total", "words"])
+
+        return sample.mapInArrow(vote, "y int, votes binary, total long, words long").toArrow()
+
+    def matrix(rows: pa.Table, voters: int) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(b"".join(rows.column("votes").to_pylist()), np.uint8).reshape(rows.num_rows, -1), axis=1)[:, :voters]
 
-    rows = sample.mapInArrow(vote, "y int, votes binary, words long, counts binary").toArrow()  # at most max_labelled rows of fixed width
+    rows = votes_of(proposed)
     n = rows.num_rows
     if not n:
         model = Model({}, list(PATTERNS))
         model.weights, model.bias = [1.0] * model.n_voters + [0.0, 0.0], -1.5
         return model
-    votes = np.unpackbits(np.frombuffer(b"".join(rows.column("votes").to_pylist()), np.uint8).reshape(n, -1), axis=1)[:, : proposed.n_voters]
-    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(n, -1)
     entries = list(lexicon)
-    kept = distinct_voters(entries, votes[:, : len(entries)], max_voters) if entries else []
+    kept = distinct_voters(entries, matrix(rows, len(entries)), max_voters) if entries else []
     model = Model({entries[j]: i for i, j in enumerate(kept)}, list(PATTERNS))
-    votes = np.column_stack([votes[:, kept], votes[:, len(entries) :]]).astype(float)
+    rows = votes_of(model)
+    votes = matrix(rows, model.n_voters).astype(float)
     lexicon = model.lexicon
     lexical = votes[:, : len(lexicon)].any(axis=1)
     post, model.prior, a, b, discount = label_model(votes, np.where(lexical, 0.9, 0.05) if len(lexicon) else np.where(votes.any(axis=1), 0.5, 0.1), rows.column("y").to_numpy(zero_copy_only=False) > 0)
     model.hit_if_toxic, model.hit_if_clean, model.discount = a.tolist(), b.tolist(), discount.tolist()
-    x = Voters.inputs(votes, counts[:, kept].sum(axis=1).astype(float), rows.column("words").to_numpy().astype(float))
+    x = Voters.inputs(votes, rows.column("total").to_numpy().astype(float), rows.column("words").to_numpy().astype(float))
     w, bias = train_linear(x, post)
     # place the threshold where the labels of these rows are met best; the middle of the best gap
     y, z = rows.column("y").to_numpy(zero_copy_only=False).astype(float) > 0, x @ w + bias
@@ -271,6 +282,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     """
     text_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != out]
+    if text_col not in keep:
+        raise ValueError(f"{out} would replace the text")
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out, T.DoubleType())])
 
     @lean

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import lean, text_batches
+from .common import lean, materialize, text_batches, unused
 
 
 def normal(text: str | None) -> str:
@@ -119,20 +120,42 @@ class Matcher:
         return sorted(out, key=lambda x: (str(x[0]), x[2]))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05, min_chars: int = 20, chunk_chars: int = 4_000_000) -> DataFrame:
+def _chunks(benchmark: DataFrame, item: Column, item_text: str, chunk_chars: int) -> Iterator[list[tuple[object, str]]]:
+    """Items ``(item, normal text)`` in lists of up to ``chunk_chars`` characters (or one item), read one after another; empty ones are left out."""
+    chunk, size = [], 0
+    for r in benchmark.select(item.alias("item"), F.col(item_text).cast("string").alias("text")).toLocalIterator():
+        text = normal(r[1])
+        if text and chunk and size + len(text) > chunk_chars:
+            yield chunk
+            chunk, size = [], 0
+        if text:
+            chunk.append((r[0], text))
+            size += len(text)
+    if chunk:
+        yield chunk
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05, min_chars: int = 20, chunk_chars: int = 2_000_000) -> DataFrame:
     """``(id_col, item_id, distance, start, end)``: the best match of every benchmark item in every document.
 
     Both texts are compared in lower case with single spaces; places are in that form of the
-    document. The benchmark goes through the driver ``chunk_chars`` at a time, one automaton and
-    one pass over the documents each, so its size is bounded whatever its length; documents are
-    never shuffled. Items under ``min_chars`` characters match unchanged and as whole words
-    only; empty or null ones match nothing.
-    Repeated items and documents give repeated rows; a document without a match gives none.
+    document. Documents are never shuffled. A benchmark of up to ``chunk_chars`` is one automaton
+    and one pass over the documents; of a larger one, each such chunk is searched and its matches
+    written before the next is read, so that neither the driver nor a worker holds two. Items
+    under ``min_chars`` characters match unchanged and as whole words only; empty or null ones
+    match nothing. Repeated items and documents give repeated rows; a document without a match
+    gives none, and so does an empty table. Extra columns are dropped. Columns that would share
+    a name are told apart by ``benchmark_`` before the item's, and ids may not be called
+    distance, start or end.
     """
     text_batches(docs.sparkSession)
-    id_type, item_type = docs.schema[id_col].dataType, benchmark.schema[item_id].dataType
-    schema = f"id {id_type.simpleString()}, item {item_type.simpleString()}, distance int, start long, end long"
+    item_type = benchmark.schema[item_id].dataType
+    names = [id_col, item_id if item_id != id_col else f"benchmark_{item_id}"]
+    if {"distance", "start", "end"} & {n.lower() for n in names}:
+        raise ValueError("ids may not be called distance, start or end")
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("item", item_type), T.StructField("distance", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    batch_type = to_arrow_type(item_type)
 
     def search(items: list[tuple[object, str]]) -> DataFrame:
         @lean
@@ -151,56 +174,48 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
         return rows.mapInArrow(run, schema)
 
-    batch_type = to_arrow_type(item_type)
-    found, chunk, size = [], [], 0
-    for r in benchmark.select(item_id, F.col(item_text).cast("string")).toLocalIterator():
-        text = normal(r[1])
-        if not text:
-            continue
-        if chunk and size + len(text) > chunk_chars:
-            found.append(search(chunk))
-            chunk, size = [], 0
-        chunk.append((r[0], text))
-        size += len(text)
-    found.append(search(chunk))
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_id)
+    out = _searched(_chunks(benchmark, F.col(item_id), item_text, chunk_chars), search, "matches")
+    return out.withColumnsRenamed({"id": names[0], "item": names[1]})
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_chars: int = 20, text_col: str = "text", **names) -> DataFrame:
-    """``docs`` without the documents in which an item matches; all columns and repeated rows of the others stay.
+def _searched(chunks: Iterator[list[tuple[object, str]]], search: Callable[[list[tuple[object, str]]], DataFrame], tag: str) -> DataFrame:
+    """What ``search`` finds for all chunks; where there are several, each one's is written before the next is read."""
+    chunk, more = next(chunks, []), next(chunks, None)
+    if more is None:
+        return search(chunk)
+    out = materialize(search(chunk), tag)
+    while more is not None:
+        out = out.union(materialize(search(more), tag))
+        more = next(chunks, None)
+    return out
 
-    Narrow: the same search runs on each row and rejects it on the spot, so nothing is joined.
-    """
-    flag = "__leak"
-    marked = _marked(docs, benchmark, rate, min_chars, text_col, flag)
-    return marked.where(~F.col(flag)).drop(flag)
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_chars: int = 20, text_col: str = "text", item_text: str = "text", chunk_chars: int = 2_000_000) -> DataFrame:
+    """``docs`` without the documents in which an item matches; all columns and repeated rows of the others stay.
 
-def _marked(docs: DataFrame, benchmark: DataFrame, rate: float, min_chars: int, text_col: str, flag: str, item_text: str = "text", chunk_chars: int = 4_000_000) -> DataFrame:
+    With a benchmark of up to ``chunk_chars`` this is narrow: the search of ``matches`` runs on
+    each row and rejects it on the spot. For a larger one the rows are written with a key, each
+    chunk gives the keys of the rows it rejects, and these are taken out by an anti join.
+    """
     text_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())])
+    flag, row = unused(docs.columns, "__leak"), unused(docs.columns, "__row")
+    chunks = _chunks(benchmark, F.lit(None).cast("int"), item_text, chunk_chars)
+    chunk, more = next(chunks, []), next(chunks, None)
+
+    def marked(frame: DataFrame, text: str, items: list[tuple[object, str]]) -> DataFrame:
+        at = frame.columns.index(text)
 
-    def mark(frame: DataFrame, items: list[tuple[object, str]]) -> DataFrame:
         @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, rate, min_chars)
             for batch in batches:
-                leak = [bool(matcher(t.as_py())) for t in batch.column(text_col)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leak, pa.bool_())], names=[*batch.schema.names, flag])
-
-        return frame.mapInArrow(run, schema)
-
-    out, chunk, size = docs, [], 0
-    for r in benchmark.select(F.col(item_text).cast("string")).toLocalIterator():
-        text = normal(r[0])
-        if not text:
-            continue
-        if chunk and size + len(text) > chunk_chars:
-            out = mark(out, chunk).where(~F.col(flag)).drop(flag)
-            chunk, size = [], 0
-        chunk.append((None, text))
-        size += len(text)
-    return mark(out, chunk)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([bool(matcher(t.as_py())) for t in batch.column(at)], pa.bool_())], names=[*batch.schema.names, flag])
+
+        return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(flag, T.BooleanType())]))
+
+    if more is None:
+        return marked(docs, text_col, chunk).where(~F.col(flag)).drop(flag)
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    search = lambda items: marked(rows.select(row, text_col), text_col, items).where(flag).select(row)
+    leaks = _searched(itertools.chain([chunk, more], chunks), search, "leaks")
+    return rows.join(leaks, row, "left_anti").select(*docs.columns)

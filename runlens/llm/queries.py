@@ -67,6 +67,27 @@ def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontam, op4_simhash, op5_sharding, op6_embeddings, op7_chat, op8_urlfilter, op9_suffix, op10_htmltext)}
 
 ORACLE_SQL = {
+    "op6_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x),
+c AS (SELECT x, least(x, min(y)) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(c.component_id, vec_id) AS component_id, coalesce(c.component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.x = vec_id
+""",
+    "op9_suffix": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, b, substr(h, 1000 * b + 1, 1398) AS h FROM (SELECT doc_id, h, unnest(range(CAST((length(h) // 2 - 199 + 499) // 500 AS BIGINT))) AS b FROM d WHERE length(h) >= 400)),
+w AS (SELECT doc_id, 500 * b + i AS p, md5_number(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, b, h, unnest(range(CAST(length(h) // 2 - 199 AS BIGINT))) AS i FROM blocks)),
+hits AS (SELECT doc_id, p FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+runs AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM hits)),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS z FROM runs GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z0 FROM spans),
+k AS (SELECT d.doc_id, string_agg(substr(h, 2 * z0 + 1, 2 * (a - z0)), '' ORDER BY a) AS head, max(z) AS z, sum(z - a) AS n_removed, count(*) AS n_spans FROM gaps JOIN d ON d.doc_id = gaps.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * z + 1), h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+""",
     "op8_urlfilter": r"""
 WITH a AS (SELECT page_id, url, instr(url, '://') AS pos FROM pages),
 b AS (SELECT page_id, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM a),

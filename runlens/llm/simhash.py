@@ -352,8 +352,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows are told apart by a key of their own, so ids may be null or repeated.
     """
-    rows, of_class = _grouped(docs, text_col, **how)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that none of the frame's names clashes
+    rows, of_class = _grouped(docs.toDF(*names.values()), names[text_col], **how)
+    own, id_col = list(names.values()), names[id_col]
     first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("__row")))
     of_each = rows.groupBy("__class").agg(first.alias("x")).join(of_class, "__class")
     kept = materialize(of_each.groupBy("__root").agg(F.min("x").alias("x")).select(F.col("x.__row").alias("__row")), "kept")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "__row", "left_semi").select(*own).toDF(*docs.columns)

@@ -424,10 +424,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = docs.drop("kept", "n_bytes", "n_removed", "spans")
-    keyed = named.withColumn("__text", text).withColumn("t1", F.xxhash64("__text")).withColumn("t2", F.xxhash64(F.lit("second"), "__text"))
-    narrow = keyed.select(F.col(id_col).cast("long").alias("id"), F.col("__text").alias("text"), "t1", "t2")
+    rows = docs.select(F.struct(*[F.col(c) for c in named.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), text.alias("__text")).withColumn("t1", F.xxhash64("__text")).withColumn("t2", F.xxhash64(F.lit("second"), "__text"))
+    narrow = rows.select(F.col("__id").alias("id"), F.col("__text").alias("text"), "t1", "t2")
     marks, copies = repeats(narrow, length, gram)
-    rows = named.select(F.struct(*[F.col(c) for c in named.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), text.alias("__text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"))
     joined = deal(rows, copies, ["t1", "t2"], ["__id"]).join(marks, ["t1", "t2", "__s"], "left").select("__row", "__id", "__text", "first_id", "marks")
     from pyspark.sql import types as T
 

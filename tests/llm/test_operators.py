@@ -132,6 +132,16 @@ def test_toxicity_learns_held_out_words(spark):
     assert {r.doc_id for r in docs.where(toxicity.held_out(F.col("doc_id"))).collect()} == {i for i in [*range(900), 5000, 5001] if zlib.crc32(str(i).encode()) % 5 == 0}
 
 
+def test_labelled_rows_are_bounded(spark, monkeypatch):
+    sent = []
+    real = toxicity.label_model
+    monkeypatch.setattr(toxicity, "label_model", lambda votes, *a, **k: sent.append(len(votes)) or real(votes, *a, **k))
+    docs = documents(spark, [(i % 40, f"text number {i} bad" if i % 3 else None) for i in range(4000)])
+    labels = spark.createDataFrame([(i % 40, i % 2) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_labelled=10)
+    assert sent == [10] and toxicity.score(docs, model).count() == 4000
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(documents(spark), none)
@@ -191,6 +201,20 @@ def test_decontamination(spark):
     assert decontam.matches(docs, bench.limit(0)).count() == 0 and decontam.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_with_clashing_names_and_many_chunks(spark):
+    rng = random.Random(15)
+    items = [(i, words(rng, 20)) for i in range(6)]
+    rows = [(i, words(rng, 2_000 if i == 4 else 30) + " " + items[i % 6][1] * (i % 2)) for i in range(8)] + [(None, items[0][1]), (None, None), (3, "copy")]
+    docs = spark.createDataFrame([(i, t, True, 1) for i, t in rows], "item_id long, text string, __leak boolean, __row int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for chunk in (2_000_000, 100):
+        got = decontam.matches(docs, bench, id_col="item_id", chunk_chars=chunk)
+        assert got.columns == ["item_id", "benchmark_item_id", "distance", "start", "end"]
+        assert sorted((str(r.item_id), r.benchmark_item_id) for r in got.collect()) == [("1", 1), ("3", 3), ("5", 5), ("7", 1), ("None", 0)]
+        kept = decontam.decontaminate(docs, bench, chunk_chars=chunk)
+        assert kept.columns == docs.columns and sorted((str(r.item_id), r.text) for r in kept.collect()) == sorted((str(i), t) for i, t in [*rows[0:8:2], rows[9], rows[10]])
+
+
 def test_short_items_match_as_whole_words(spark):
     docs = documents(spark, [(1, "Say  Short, please"), (2, "a shorter one"), (3, "unshort"), (4, "shot"), (5, None), (6, "2+2=4"), (7, "12+2=4")])
     bench = spark.createDataFrame([(1, "short"), (2, ""), (3, None), (4, " 2+2 ")], "item_id long, text string")
@@ -378,6 +402,32 @@ def test_embedding_links(spark, block):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("dim", [3, 16, 200])
+def test_embedding_recall_by_dimension(spark, dim):
+    rng = np.random.default_rng(dim)
+    base = rng.normal(size=(500, dim))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    other = rng.normal(size=(500, dim))
+    other -= (other * base).sum(axis=1)[:, None] * base
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    c = np.linspace(0.9502, 0.99, 500)[:, None]
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * other])
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id").n_links.to_numpy()
+    sim = x @ x.T
+    np.fill_diagonal(sim, 0)
+    want = (sim >= 0.95).sum(axis=1)
+    assert (got <= want).all() and got.sum() >= 0.9 * want.sum()
+
+
+def test_colliding_hashes_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "_hash", lambda v: F.pmod(F.xxhash64(v), F.lit(3)))
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 24)).astype(np.float32).tolist()
+    rows = [*enumerate([*x, x[0], x[0], x[5]]), (77, [1.0, 2.0]), (78, [3.0]), (79, None)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {i: (2, 0) if i in (0, 40, 41) else (1, 5) if i in (5, 42) else (0, i) for i, _ in rows}
+
+
 # -- chat --------------------------------------------------------------------------------------
 
 
@@ -429,12 +479,15 @@ def test_chat_repair(spark, block):
 # -- URL filters -------------------------------------------------------------------------------
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("small", [4096, 0])
+def test_url_filter(spark, small):
     rng = random.Random(6)
     hosts = ["a.net", "net", "x.example.net", "example.net", "EXAMPLE.com", "b.example.com", "notnet", "q.org", "org", "a..net", "net:80"]
     urls = [f"http{rng.choice(['', 's'])}://{h}{p}" for h in hosts for p in ("", "/", "/en/", "/en", "/en/x?u=/de/", "/de/a/b#/fr/", "/fr/y", "?/en/", "#x")] + [None, "", "nothing", "://", "http:///en/", "a://b://c.net/"]
-    rules = [("net", "/", "block"), ("Example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("q.org", "/fr/y", "block"), ("", "", "block"), ("org", "/fr/", "block")]
-    got = urlfilter.judge(spark.createDataFrame([(i, u, "c", "d") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string, rule string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    rules = [("net", "/", "block"), ("Example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("q.org", "/fr/y", "block"), ("", "", "block"), ("org", "/fr/", "block"), ("a.net", "/e", "allow"), ("b.example.com", "/de/a/b", "allow"), ("org", "", "allow"), ("net", None, "allow"), (None, "/x", "block")]
+    urls += ["http://a.net/" + "x/" * 5000, "http://" + "s." * 3000 + "net/en/", "http://a.net/ads/x"]
+    got = urlfilter.judge(spark.createDataFrame([(i, u, "c", "d") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string, rule string"), spark.createDataFrame(rules, "host string, path string, verdict string"), small=small).collect()
+    rules = [(a or "", b or "", v) for a, b, v in rules]
     assert len(got) == len(urls) + 1
     for r in got:
         rest = (r.url or "").partition("://")[2]
@@ -447,6 +500,22 @@ def test_url_filter(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, *want), r
 
 
+@pytest.mark.parametrize("small", [4096, 0])
+def test_url_filter_with_many_rules_and_nothing(spark, monkeypatch, small):
+    monkeypatch.setattr(blocks, "SHARE", 5)  # the most frequent URLs are hot
+    rules = [(f"h{i}.com", f"/p{i % 7}", "block") for i in range(300)]
+    urls = [(i, f"http://x.h{i % 50}.com/p{i % 7}/q", "c", "d", 1) for i in range(200)] + [(i, u, "c", "d", 1) for i, u in enumerate(["http://h1.com/p1"] * 90 + [None] * 90)]
+    frame = spark.createDataFrame(urls, "page_id long, url string, __list string, __best string, __u int")
+    listed = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = urlfilter.judge(frame, listed, small=small)
+    assert got.columns == [*frame.columns, "host", "path", "rule", "verdict"]
+    want = [((u or "").split("/")[2].split("x.")[-1] if u else "", u) for _, u, *_ in urls]
+    fit = {(h, p) for h, p, _ in rules}
+    assert sorted((r.url or "", r.verdict) for r in got.collect()) == sorted((u or "", "block" if any((h, p) in fit and u.split(h)[1].startswith(p) for p in {f"/p{k}" for k in range(7)}) else "allow") for h, u in want)
+    assert {r.verdict for r in urlfilter.judge(frame, listed.limit(0), small=small).collect()} == {"allow"}
+    assert urlfilter.judge(frame.limit(0), listed, small=small).count() == 0
+
+
 # -- suffix dedup ------------------------------------------------------------------------------
 
 
@@ -586,6 +655,20 @@ def test_extracts_regions_of_the_page(html, text):
     assert htmltext.extract_text(html) == text.strip()
 
 
+@pytest.mark.parametrize("html", ["<b>" * 100_000, "<div><i>" * 50_000, "</p>" * 100_000, "<article>" + "<p>" * 100_000, "<ul>" + "<li>" * 100_000, "<div>" * 5000 + LONG + "</div>" * 5000, "<b>" * 30_000 + "</i>" * 30_000, "<" * 20_000, "&" * 20_000])
+def test_time_grows_with_length_alone(html):
+    import time
+
+    began = time.process_time()
+    htmltext.extract_text(html)
+    assert time.process_time() - began < 15
+
+
+def test_extract_with_clashing_columns(spark):
+    pages = spark.createDataFrame([("a", "<p>x</p>", "b")], "__html string, html string, _text string")
+    assert [tuple(r) for r in htmltext.extract(pages).collect()] == [("a", "b", "x")]
+
+
 def test_extract_keeps_other_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<article>x</article>", "old"), (1, "u", "<article>x</article>", "old"), (2, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(tuple(r) for r in htmltext.extract(pages).fillna("-").collect()) == [(1, "u", "x"), (1, "u", "x"), (2, "-", "")]

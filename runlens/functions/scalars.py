@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # Statuses that end a branch.
 TERMINAL = ("succeed", "ready_for_manifest", "finished", "failed", "manifesting")
-# Default endpoint and agent, review file, controller and handler polling (timeout, first wait, longest wait).
+# Default endpoint and agent, review file, controller and handler polling (timeout, first wait, longest wait),
+# factor of waits, calls, pause after a failure, failures in a row.
 DEFAULT_URL = "http://localhost:8000/mcp/sse"
 DEFAULT_AGENT = "codex"
 REVIEW_LOG = "code_review.log"
 CONTROLLER_POLL = (86400, 60, 300)
 HANDLER_POLL = (21600, 3, 30)
 BACKOFF = 1.5
+RPC_TIMEOUT_S, RPC_ATTEMPTS = 30, 3
 FAILURE_PAUSE_S = 1200
 MAX_FAILURES = 3
 
@@ -78,6 +80,12 @@ def byte_excerpt(c: Column | str, n: int = 400) -> Column:
 
 
 def preview(c: Column | str, n: int = 2000) -> Column:
+    """The first ``n`` bytes as text; what a cut leaves of a character is replaced."""
+    return F.make_valid_utf8(F.substring(F.encode(col(c), "UTF-8"), 1, n).cast("string"))
+
+
+def preview_chars(c: Column | str, n: int) -> Column:
+    """The first ``n`` characters, as log messages cap them."""
     return F.substring(col(c), 1, n)
 
 
@@ -96,6 +104,34 @@ def backoff_waits(first: Column | str, longest: Column | str, n: int, factor: fl
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(n - 1, 1))), F.array(col(first).cast("double")), step) if n > 1 else F.array(col(first).cast("double"))
 
 
+def poll_settings(timeout: Column | str, poll: Column | str, longest: Column | str, default: tuple[float, float, float] = HANDLER_POLL) -> Column:
+    """Struct of timeout, first and longest wait in seconds: numbers over 0 replace the defaults, a longest wait only if it is not below the first.
+
+    The timeout is in whole seconds.
+    """
+    number = lambda c, d: F.coalesce(F.when(col(c) > 0, col(c)), F.lit(float(d)))
+    first = number(poll, default[1])
+    most = F.coalesce(F.when(col(longest) >= first, col(longest)), F.lit(float(default[2])))
+    return F.struct(F.floor(number(timeout, default[0])).cast("double").alias("timeout_s"), first.alias("poll_s"), most.alias("max_poll_s"))
+
+
+def client_settings(url: Column | str, default: str = DEFAULT_URL) -> Column:
+    """Struct of a client's endpoint without slashes at its end (the default if nothing is left), call timeout and attempts."""
+    base = F.regexp_replace(F.coalesce(col(url), F.lit("")), "/+$", "")
+    return F.struct(F.when(base == "", F.lit(default)).otherwise(base).alias("url"), F.lit(RPC_TIMEOUT_S).alias("timeout_s"), F.lit(RPC_ATTEMPTS).alias("attempts"))
+
+
+def episode_prompt(task: Column | str) -> Column:
+    """The trimmed task; null without one, which is an error."""
+    return non_blank(task)
+
+
+def bootstrap_prompt(lines: list[str], conditional: dict[str, Column | str]) -> Column:
+    """Fixed lines, then a line ``name=value`` for each setting that is not blank, joined by newlines."""
+    given = [F.when(non_blank(c).isNotNull(), F.concat(F.lit(f"{name}="), non_blank(c))) for name, c in conditional.items()]
+    return F.concat_ws("\n", *map(F.lit, lines), *given)
+
+
 def retry_wait(attempt: Column | str) -> Column:
     """Seconds before the next call attempt: a power of two."""
     return F.expr("1L") * F.pow(F.lit(2), col(attempt)).cast("long")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import FAILURE_PAUSE_S, MAX_FAILURES, is_terminal, non_blank, status_of
+from ..functions.scalars import FAILURE_PAUSE_S, MAX_FAILURES, is_terminal, missing_artifact, non_blank, status_of
+from ..sources.scratch import written
 
 
 def _before(run: str, order: list[str]) -> Window:
@@ -73,15 +74,39 @@ def freshness(children: DataFrame, parents: DataFrame, child_parent: str, parent
     return joined.withColumn("fresh", fresh).drop("__pid", "__psnap", "__error", "__payload_error")
 
 
-def lineage(spark: SparkSession, edges: DataFrame, node: str, parent: str, levels: int = 1000) -> DataFrame:
-    """Depth and root of every node of a parent forest, by a recursive query; roots have no known parent."""
-    edges.select(F.col(node).alias("node"), F.col(parent).alias("parent")).createOrReplaceTempView("__lineage_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, root, depth) MAX RECURSION LEVEL {levels} AS (
-          SELECT e.node, e.node, 0L FROM __lineage_edges e LEFT ANTI JOIN __lineage_edges p ON e.parent = p.node
-          UNION ALL
-          SELECT e.node, w.root, w.depth + 1 FROM walk w JOIN __lineage_edges e ON e.parent = w.node)
-        SELECT node, root, depth FROM walk""")
+def lineage(spark: SparkSession, edges: DataFrame, node: str, parent: str) -> DataFrame:
+    """``(node, root, depth)`` of every node of a parent forest, by pointer doubling; roots have no known parent.
+
+    Each round doubles how far a node sees, so a chain of n nodes takes log2(n) rounds, each a
+    join of written tables; nodes that have found their root are set aside. Nodes of a cycle,
+    and below one, have no root: both are null. Nodes are distinct, null ones are left out.
+    """
+    known = edges.select(F.col(node).alias("node"), F.col(parent).alias("parent")).where("node is not null")
+    up = known.join(known.select(F.col("node").alias("parent"), F.lit(True).alias("__known")), "parent", "left")
+    up = up.select("node", F.when(F.col("__known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("far"))
+    todo, done = written(up, "lineage"), []
+    done.append(todo.where("up is null").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth")))
+    todo, left = todo.where("up is not null"), None
+    found = done[0]
+    while (now := todo.count()) and now != left:
+        # a node whose ancestor has its root set aside is done; the others see twice as far
+        ends = found.select(F.col("node").alias("up"), F.col("root").alias("__root"), F.col("depth").alias("__depth"))
+        reach = todo.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("far").alias("__far"))
+        moved = todo.join(ends, "up", "left").join(reach, "up", "left")
+        moved = written(moved.select("node", F.coalesce("__up", "up").alias("up"), (F.col("far") + F.coalesce("__far", F.lit(0))).alias("far"), F.col("__root").alias("root"), (F.col("far") + F.col("__depth")).alias("depth")), "lineage")
+        found = moved.where("root is not null").select("node", "root", "depth")
+        done.append(found)
+        found, left = _union(done), now
+        todo = moved.where("root is null").select("node", "up", "far")
+    lost = todo.select("node", F.lit(None).cast(known.schema["node"].dataType).alias("root"), F.lit(None).cast("long").alias("depth"))
+    return _union([*done, lost])
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
 
 
 def first_timeout(polls: DataFrame, run: str, order: list[str], wait: Column, terminal: Column, timeout: float) -> DataFrame:
@@ -104,8 +129,6 @@ def poll_outcome(polls: DataFrame, branch: str = "branch_id", poll_no: str = "po
 
 def review_result(attempts: DataFrame, most: int = 3, review: str = "review", attempt: str = "attempt", message: str = "error") -> DataFrame:
     """One row per review: the first attempt that didn't end in a missing artifact, or exhausted after ``most``."""
-    from ..functions.scalars import missing_artifact
-
     tried = attempts.where(F.col(attempt) <= most).withColumn("__missing", missing_artifact(message))
     hit = F.when(~F.col("__missing"), F.col(attempt))
     out = tried.groupBy(review).agg(F.min(hit).alias("decided_at"), F.count("*").alias("tried"), F.min_by(message, hit).alias("error"), F.min_by("content", hit).alias("content"))

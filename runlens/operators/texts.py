@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +49,15 @@ def parse_logs(lines: DataFrame, line: str = "value", least: str = "DEBUG") -> D
     rank = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
     rows = lines.withColumn("ts", F.to_timestamp(F.nullif(F.regexp_extract(line, LINE, 1), F.lit("")), "yyyy/MM/dd HH:mm:ss.SSSSSS")).withColumn("level", F.regexp_extract(line, LINE, 2)).withColumn("message", F.regexp_extract(line, LINE, 3))
     rows = rows.where(F.col("ts").isNotNull() & (rank >= LEVELS.index(least) + 1))
-    name: Column = F.lit(None).cast("string")
-    args: Column = F.array().cast("array<string>")
+    form: Column = F.lit(None).cast("struct<template_id:string,args:array<string>>")
     for key, pattern in reversed(TEMPLATES):
         n = pattern.replace(r"\(", "").replace("(?s)", "").count("(")
-        hit = F.col("message").rlike(pattern)
-        name = F.when(hit, key).otherwise(name)
-        args = F.when(hit, F.array(*[F.regexp_extract("message", pattern, i + 1) for i in range(n)]).cast("array<string>")).otherwise(args)
-    return rows.withColumn("template_id", name).withColumn("args", args)
+        args = F.array(*[F.regexp_extract("message", pattern, i + 1) for i in range(n)]).cast("array<string>")
+        # the fixed beginning tells most messages apart without a pattern
+        begins = re.match(r"\^?((?:[^\\(^$]|\\[.()])*)", pattern.removeprefix("(?s)"))[1].replace("\\", "")
+        hit = F.startswith(F.col("message"), F.lit(begins)) & F.col("message").rlike(pattern)
+        form = F.when(hit, F.struct(F.lit(key).alias("template_id"), args.alias("args"))).otherwise(form)
+    return rows.withColumn("__form", form).withColumn("template_id", F.col("__form.template_id")).withColumn("args", F.coalesce("__form.args", F.array().cast("array<string>"))).drop("__form")
 
 
 def marker(text: Column | str, key: str) -> Column:

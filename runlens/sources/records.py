@@ -24,16 +24,20 @@ def load_state(spark: SparkSession, path: str = DEFAULT_STATE, more: tuple[str,
     return spark.read.schema(_schema(more)).json(path, multiLine=True, mode="FAILFAST")
 
 
-def save_version(state: DataFrame, path: str, version: int) -> None:
-    """Append one version of the state; empty texts and false are left out, as in the saved file."""
-    fields = [F.when(F.col(c) != F.lit(False if kind == "boolean" else ""), F.col(c)).alias(c) for c, kind in state.dtypes]
-    state.select(F.lit(version).cast("long").alias("version"), F.to_json(F.struct(*fields)).alias("state")).write.mode("append").parquet(path)
+def save_version(state: DataFrame, path: str, version: int, key: str | None = None) -> None:
+    """Append one version of the state, of each ``key`` if given; empty texts and false are left out, as in the saved file.
 
+    A version is one write, which its readers see whole or not at all; the last one counts.
+    """
+    fields = [F.when(F.col(c) != F.lit(False if kind == "boolean" else ""), F.col(c)).alias(c) for c, kind in state.dtypes if c != key]
+    keys = [F.col(key)] if key else []
+    state.select(*keys, F.lit(version).cast("long").alias("version"), F.to_json(F.struct(*fields)).alias("state")).write.mode("append").parquet(path)
 
-def current_state(spark: SparkSession, path: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """The state of the highest version."""
-    last = spark.read.parquet(path).agg(F.max_by("state", "version").alias("state"))
-    return last.select(F.from_json("state", _schema(more)).alias("s")).select("s.*")
+
+def current_state(spark: SparkSession, path: str, more: tuple[str, ...] = (), key: str | None = None) -> DataFrame:
+    """The state of the highest version, of each ``key`` if given."""
+    last = spark.read.parquet(path).groupBy(*([key] if key else [])).agg(F.max_by("state", "version").alias("state"))
+    return last.select(*([key] if key else []), F.from_json("state", _schema(more)).alias("s")).select(*([key] if key else []), "s.*")
 
 
 def answers(responses: DataFrame, status: str = "http_status", content_type: str = "content_type", body: str = "body") -> DataFrame:

@@ -38,21 +38,24 @@ def test_toxic_documents_go(spark, stages):
 
 
 def test_one_of_each_group_stays(stages):
-    from runlens.llm import simhash
+    """Documents are linked at a Jaccard of 0.8 or more of their five-word shingles, by brute force."""
 
-    fp = {r.doc_id: np.frombuffer(simhash.fingerprint(r.text, 5, 8, True), np.uint64) for r in stages[1]}
-    root = {i: i for i in fp}
+    def shingles(text, k=5):
+        w = (text or "").encode().lower().split()
+        return frozenset(b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+    sets = {r.doc_id: shingles(r.text) for r in stages[1]}
+    root = {i: i for i in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(fp)
-    limit = int(512 * np.arccos(1.6 / 1.8) / np.pi)
+    ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and np.bitwise_count(fp[a] ^ fp[b]).sum() <= limit:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     assert {r.doc_id for r in stages[2]} == {find(i) for i in ids}
@@ -101,3 +104,41 @@ def test_run(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     key = lambda r: (r.doc_id, r.start)
     assert sorted(map(key, got.collect())) == sorted(map(key, stages[5]))
+
+
+def unlike(rng, n=60):
+    return " ".join(f"u{rng.getrandbits(40):x}" for _ in range(n))
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    texts = [unlike(rng) for _ in range(9)]
+    passage, item = unlike(rng, 40), unlike(rng, 20)
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, None), (None, ""), (5, texts[2]), (5, texts[3]), (5, texts[3]), (6, f"{texts[4]} {passage} {texts[5]}"), (7, f"{texts[6]} {passage} {texts[7]}"), (8, f"{texts[8]} {item}")]
+    spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        kept.append([(r.doc_id, r.text) for r in docs.collect()] if name != "packing" else docs.collect())
+    assert len(kept[0]) == len(rows)
+    assert sorted(t or "" for _, t in kept[1]) == sorted(["", *texts[:4], *(t for _, t in rows[8:])])
+    after = {i: t for i, t in kept[2] if i in (6, 7)}
+    assert len(kept[2]) == len(kept[1]) and after[6] == rows[8][1] and passage not in after[7] and texts[6] in after[7]
+    assert len(kept[3]) == len(kept[2]) - 1 and 8 not in {i for i, _ in kept[3]}
+    assert len({(r.sequence_id, r.offset) for r in kept[4]}) == len(kept[4]) >= len(kept[3])
+
+
+def test_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -18,6 +20,11 @@ from .common import lean, text_batches, trim
 
 #: Words of Latin-1 letters and ASCII marks after them: to the tokenizer a token of letters and one of marks, already composed.
 _PLAIN = "^(?P<core>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
+#: Normaliser and splitter of vocabularies that may be encoded by words: white space always parts tokens, and case and composition are all that changes.
+_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 #: Bytes of text that are encoded together, and words of them that the tokenizer sees in one call.
 _AT_ONCE = 4_000_000
 _WORDS_AT_ONCE = 4096
@@ -30,9 +37,10 @@ def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    """Token ids of whole texts, by way of their distinct white-space-free words.
+    """Token ids of whole texts, by way of their distinct white-space-free words where the vocabulary allows it.
 
-    The vocabulary's pre-tokeniser never joins characters over white space, so ids of a text
+    That is so where its settings are ``_BY_WORDS``; with any others, whole texts are encoded.
+    Such a splitter never joins characters over white space, so ids of a text
     are the ids of its words in order; each distinct word is encoded once and remembered, until
     there are ``remember`` of them; then only those of the texts at hand stay. Plain
     words are looked up as letters in lower case and marks, which is what the tokenizer's own
@@ -44,6 +52,8 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.letters = Tokenizer.from_file(tokenizer_path), Tokenizer.from_file(tokenizer_path)
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_words = all(settings[k] == v for k, v in _BY_WORDS.items()) and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in settings["added_tokens"])
         self.letters.normalizer, self.letters.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.remember = remember
         self.known: dict[str, int] = {}
@@ -107,6 +117,9 @@ class WordEncoder:
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each closed by ``end_id``; and where each text ends."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_words:
+            ids = [[*e.ids, end_id] for t in texts for e in self.tokenizer.encode_batch_fast([t.as_py()], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(ids), dtype=np.uint32), np.cumsum([len(x) for x in ids], dtype=np.int64)
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
         number = self._numbers(coded.dictionary.to_pylist())

@@ -93,6 +93,20 @@ def test_word_encoder_forgets_and_slices(monkeypatch):
     assert not encode.known and not len(encode.pool)
 
 
+def test_other_vocabularies_encode_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, tokenizer = packing.WordEncoder(path), Tokenizer.from_file(path)
+    assert not encode.by_words and packing.WordEncoder(VOCABULARY).by_words
+    some = ["Two  words\n and more", "", None, " lead"]
+    ids, ends = encode(pa.array(some), 7)
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in some]
+    assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    encode.rest()
+
+
 def test_packing_balances_cost():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 900, 4000)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .blocks import deal, hot_keys
 from .common import materialize, partitions
 
 
@@ -71,11 +72,15 @@ def slots(df: DataFrame, shard_col: str, order: list[str], out: str = "slot") ->
     """Number the rows of every shard from 0 without gaps, no task holding a whole shard.
 
     Rows are dealt to (shard, bucket) by a hash of ``order``; a bucket numbers its own rows and
-    adds the count of the buckets before it. The table of counts has shards x buckets rows, a
-    bound that does not grow with the data, and is broadcast. Equal rows get different slots.
+    adds the count of the buckets before it. Rows equal in ``order`` that make up over 1 / SHARE
+    of all are spread over buckets too; equal rows get different slots. The table of counts has
+    shards x buckets rows, a bound that does not grow with the data, and is broadcast. ``df`` is
+    read three times, so write it before.
     """
     buckets = partitions(df.sparkSession)
-    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    keyed = df.withColumn("__h", F.xxhash64(*order)).withColumn("__u", F.monotonically_increasing_id())
+    hot = hot_keys(keyed.groupBy("__h").agg(F.count("*").alias("__r")), ["__h"], "__r", df.count())
+    dealt = deal(keyed, hot, ["__h"], ["__u"]).withColumn("__bucket", F.pmod(F.xxhash64("__h", "__s"), F.lit(buckets)).cast("int")).drop("__h", "__u", "__s")
     own = F.row_number().over(Window.partitionBy(shard_col, "__bucket").orderBy(*order)).cast(T.LongType()) - 1
     numbered = dealt.withColumn("__own", own)
     counts = numbered.groupBy(shard_col, "__bucket").agg((F.max("__own") + 1).alias("__n"))  # reads the exchange that numbers the rows

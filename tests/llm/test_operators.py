@@ -374,6 +374,17 @@ def test_sharding(spark):
     assert sharding.shard_documents(documents(spark, [])).count() == 0
 
 
+def test_slots_of_rows_that_are_mostly_equal(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SHARE", 10)
+    rows = [(7, "same")] * 300 + [(i, f"t{i}") for i in range(200)] + [(None, None)] * 90
+    got = sharding.shard_documents(documents(spark, rows)).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in got if r.doc_id == 7}) == 1
+
+
 def test_movement_stays_in_the_changed_subtree(spark):
     keys = spark.range(4000).withColumn("shard", F.lit("clash"))
     old = sharding.topology(16)

@@ -58,6 +58,22 @@ def up_to_episode(attempts: DataFrame, run: str, success: Column, order: list[st
     return numbered.where(F.lit(most == 0) | (F.col("episode_no") <= most))
 
 
+def numbered(rows: DataFrame, run: str, order: list[str], out: str = "attempt_no") -> DataFrame:
+    """Each row with its number within its run, from 1: attempts, polls or request ids."""
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy(run).orderBy(*order)).cast("long"))
+
+
+def episode_counts(attempts: DataFrame, run: str, success: Column, bootstrap: Column) -> DataFrame:
+    """Attempts and completed episodes of each run; bootstrap runs don't count as episodes."""
+    return attempts.groupBy(run).agg(F.count("*").alias("attempts"), F.count_if(success & ~bootstrap).alias("episodes"))
+
+
+def launching(attempts: DataFrame, run: str, left_active: Column, order: list[str]) -> DataFrame:
+    """Attempts that launch a branch: those before which none was left active to be resumed."""
+    active = F.coalesce(F.lag(left_active).over(Window.partitionBy(run).orderBy(*order)), F.lit(False))
+    return attempts.withColumn("__active", active).where("not __active").drop("__active")
+
+
 def freshness(children: DataFrame, parents: DataFrame, child_parent: str, parent_id: str, snap: str, mode: str = "poll") -> DataFrame:
     """Children with ``fresh``: whether their snapshot is their own and not taken over from the parent.
 

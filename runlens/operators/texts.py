@@ -96,3 +96,8 @@ def first_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key, the first: what writes that skip known keys leave."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
+
+
+def triage(findings: DataFrame, scope: str, severe: Column) -> DataFrame:
+    """Findings and severe ones by scope."""
+    return findings.groupBy(scope).agg(F.count("*").alias("findings"), F.count_if(severe).alias("severe"))

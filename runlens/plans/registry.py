@@ -84,20 +84,18 @@ def episode_limit(spark, sf_dir):
 def episode_counts(spark, sf_dir):
     """Attempts and completed episodes per run; signup stands for bootstrap."""
     e = table(spark, sf_dir, "events")
-    done = ~F.col("event_type").isin("error", "signup")
-    return e.groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("attempts"), F.count_if(done).alias("episodes"))
+    return runs.episode_counts(e.withColumnRenamed("user_id", "run"), "run", F.col("event_type") != "error", F.col("event_type") == "signup")
 
 
 @query(_A + "SELECT run, branch, row_number() OVER (PARTITION BY run ORDER BY ts, branch) AS attempt_no FROM a")
 def attempt_numbers(spark, sf_dir):
-    return attempts(spark, sf_dir).select("run", "branch", F.row_number().over(Window.partitionBy("run").orderBy(*_ORDER)).cast("long").alias("attempt_no"))
+    return runs.numbered(attempts(spark, sf_dir), "run", _ORDER).select("run", "branch", "attempt_no")
 
 
 @query(_A + "SELECT run, branch FROM (SELECT run, branch, coalesce(lag(failed) OVER (PARTITION BY run ORDER BY ts, branch), FALSE) AS active FROM a) WHERE NOT active")
 def new_launches(spark, sf_dir):
     """Attempts that launch: those before which no branch is active (a failed attempt stands for one left active)."""
-    active = F.coalesce(F.lag("failed").over(Window.partitionBy("run").orderBy(*_ORDER)), F.lit(False))
-    return attempts(spark, sf_dir).withColumn("active", active).where(~F.col("active")).select("run", "branch")
+    return runs.launching(attempts(spark, sf_dir), "run", F.col("failed"), _ORDER).select("run", "branch")
 
 
 @query("""
@@ -465,7 +463,7 @@ def unread_notifications(spark, sf_dir):
 @query("SELECT o_orderpriority AS scope, CAST(count(*) AS BIGINT) AS findings, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS severe FROM orders GROUP BY o_orderpriority")
 def triage_counts(spark, sf_dir):
     """Findings and severe ones by scope; an order stands for a finding, its priority for the scope."""
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("scope")).agg(F.count("*").alias("findings"), F.count_if(F.col("o_orderstatus") == "F").alias("severe"))
+    return texts.triage(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "scope"), "scope", F.col("o_orderstatus") == "F")
 
 
 @query(_A + "SELECT run, branch, coalesce(last_value(CASE WHEN NOT failed AND branch % 3 = 0 THEN branch END IGNORE NULLS) OVER (PARTITION BY run ORDER BY ts, branch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS anchor FROM a")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Rows of a key that are compared in one run; a key with more is cut into blocks, one run for each pair of them.
 BLOCK = 1024
 
@@ -53,13 +55,18 @@ def block_pairs(keys: DataFrame, key: str, spread: str, block: int = BLOCK, tota
     A key with at most ``block`` rows is one run. A hotter one has ``ceil(rows / block)``
     blocks, dealt by a hash of ``spread``; every pair of its blocks is a run on its own, so
     each pair of rows meets in some task and no task holds more than about two blocks. The
-    table of keys with blocks has at most rows / block entries; Spark chooses how to join it,
-    and the rows of keys with over 1 / SHARE of all (``total``, or a count) are dealt before.
+    table of keys with blocks has at most rows / block entries. Up to SHARE of them are
+    broadcast; more are joined, the rows of keys with over 1 / SHARE of all (``total``, or a
+    count) being dealt before.
     """
     blocks = keys.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > block).withColumn("__nb", F.ceil(F.col("__n") / block).cast("int"))
-    hot = hot_keys(blocks, [key], "__n", total or keys.count())
-    dealt = deal(keys, hot, [key], [spread]).join(for_each_piece(blocks.select(key, "__nb"), hot, [key]), [key, "__s"], "left")
-    dealt = dealt.withColumn("__nb", F.coalesce("__nb", F.lit(1))).drop("__s")
+    blocks = materialize(blocks, "blocks")
+    if blocks.count() <= SHARE:
+        dealt = keys.join(F.broadcast(blocks.select(key, "__nb")), key, "left")
+    else:
+        hot = hot_keys(blocks, [key], "__n", total or keys.count())
+        dealt = deal(keys, hot, [key], [spread]).join(for_each_piece(blocks.select(key, "__nb"), hot, [key]), [key, "__s"], "left").drop("__s")
+    dealt = dealt.withColumn("__nb", F.coalesce("__nb", F.lit(1)))
     dealt = dealt.withColumn("b", F.pmod(F.xxhash64(F.lit(key), spread), F.col("__nb")).cast("int"))
     dealt = dealt.withColumn("__c", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)))
     dealt = dealt.withColumn("bi", F.least("b", "__c")).withColumn("bj", F.greatest("b", "__c")).drop("__nb", "__c")

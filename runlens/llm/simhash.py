@@ -19,6 +19,7 @@ from .graph import components, local_components
 _LANES = np.uint64(0x0101010101010101)
 _BAND = 4  # min-hashes of a band
 _SEGMENT = 4  # bits of a segment of the ring
+_SHORT = 1 << 26  # fingerprints up to which the shorter keys make short buckets
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -120,12 +121,13 @@ def _popcounts(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int16)
 
 
-def ring_keys(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def ring_keys(fps: np.ndarray, distance: int, halves: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Bucket keys of fingerprints, given as rows of bytes, and the ring segment each begins at: arrays (rows, keys) and (keys,).
 
     The ring has segments of ``_SEGMENT`` bits. From some start no bit differs in as many
     segments as have a budget of 0, and at most one in those after them that have a budget
-    under 2, so that one half of these agrees too. A key is a start, the first segments and a half.
+    under 2, so that one half of these agrees too. A key is a start and the first segments, and
+    with ``halves`` either half: twice the keys, which are the longer.
     """
     n, bits = len(fps), np.unpackbits(fps, axis=1)
     width = bits.shape[1]
@@ -136,7 +138,7 @@ def ring_keys(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     out, start = [], []
     for s in range(m if distance else 1):
         ring = np.roll(bits, -s * _SEGMENT, axis=1)
-        for side, (a, b) in enumerate(((zero, half), (half, one))[: 1 + (one > half)]):
+        for side, (a, b) in enumerate(((zero, half), (half, one))[: 1 + (one > half)] if halves else ((zero, zero),)):
             packed = np.packbits(np.concatenate([ring[:, :zero], ring[:, a:b]], axis=1), axis=1)
             packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
             key = np.full(n, 2 * s + side + 1, dtype=np.uint64)
@@ -155,13 +157,13 @@ def links(fps: DataFrame, words: int, distance: int, chain: int | None = None, b
     it. Fingerprints meet in the buckets of ``ring_keys``; pairs of a bucket must then hold the
     chain condition up to ``chain`` segments (all by default), and only those left have all
     bits compared. No pair is missed; ``distance`` must be under m, 16 for 64 bits. With 64 bits
-    and 3 of them differing a key has 30 bits, so that buckets stay short up to 2**30 fingerprints.
-    A run of a bucket gives one link for each of its linked fingerprints, not all pairs.
+    and 3 of them differing there are 16 keys of 20 bits, or, if there are over ``_SHORT``
+    fingerprints (``total``), 32 of 30 bits, so that buckets stay short. A run of a bucket gives one link for each of its linked fingerprints, not all pairs.
     """
     m = words * 64 // _SEGMENT
     if not 0 <= distance < m:
         raise ValueError(f"distance must be under {m} for {words * 64} bits")
-    chain = min(chain or m, m)
+    chain, halves = min(chain or m, m), total > _SHORT
     nibble = np.array([x.bit_count() for x in range(16)], dtype=np.int16)
 
     @lean
@@ -169,7 +171,7 @@ def links(fps: DataFrame, words: int, distance: int, chain: int | None = None, b
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                key, start = ring_keys(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, words * 8), distance)
+                key, start = ring_keys(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, words * 8), distance, halves)
                 rows = pa.array(np.repeat(np.arange(part.num_rows), len(start)))
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(start, part.num_rows)), part.column("node").take(rows), part.column("fp").take(rows)], names=["k", "start", "node", "fp"])
 
@@ -206,7 +208,7 @@ def links(fps: DataFrame, words: int, distance: int, chain: int | None = None, b
                 yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["src", "dst"])
 
     keys = fps.select("node", "fp").mapInArrow(explode, "k long, start int, node long, fp binary")
-    per_row = len(ring_keys(np.zeros((1, words * 8), np.uint8), distance)[1])
+    per_row = len(ring_keys(np.zeros((1, words * 8), np.uint8), distance, halves)[1])
     return block_pairs(keys, "k", "node", block, total * per_row).select("k", "bi", "bj", "b", "start", "node", "fp").mapInArrow(compare, "src long, dst long")
 
 

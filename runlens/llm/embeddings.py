@@ -134,14 +134,17 @@ def _candidates(starts: np.ndarray, list_of: np.ndarray, own: np.ndarray, allowe
     """Index pairs of the same run with enough shared pivots, the smallest of which is the run's own list.
 
     ``own`` has the pivots of each row in order, -1 after the last. Pairs that meet in a further
-    pivot of larger number are counted; only those with enough meetings are compared in full.
+    pivot of larger number are counted; only those with enough meetings are compared in full. A
+    row with fewer pivots than ``shared`` needs to share all it has.
     """
     n, prefix = own.shape
     run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-    if (list_of == _NO_PIVOT).any() or shared < 2:  # no other pivot to meet in
-        p, q = pairs_of_runs(starts, n, lambda a, b: np.ones(len(a), dtype=bool))
-    else:
-        row, place = np.nonzero(own > list_of[:, None])
+    few = (own >= 0).sum(axis=1) < max(shared, 2)  # rows with too few pivots to be told apart by counts: all pairs of their runs
+    rows = np.flatnonzero(few)
+    p, q = pairs_of_runs(np.flatnonzero(np.diff(run[rows], prepend=-1)), len(rows), lambda a, b: np.ones(len(a), dtype=bool))
+    p, q = rows[p], rows[q]
+    row, place = np.nonzero((own > list_of[:, None]) & ~few[:, None])
+    if len(row):
         key = np.lexsort((own[row, place], run[row]))
         row, place = row[key], place[key]
         new = np.ones(len(row), dtype=bool)
@@ -149,8 +152,8 @@ def _candidates(starts: np.ndarray, list_of: np.ndarray, own: np.ndarray, allowe
         a, b = pairs_of_runs(np.flatnonzero(new), len(row), lambda x, y: np.abs(place[x] - place[y]) <= shift)
         pair = np.sort(np.minimum(row[a], row[b]) * n + np.maximum(row[a], row[b]))
         first = np.flatnonzero(np.diff(pair, prepend=-1))
-        enough = np.diff(np.append(first, len(pair))) >= shared - 1
-        p, q = pair[first[enough]] // n, pair[first[enough]] % n
+        enough = first[np.diff(np.append(first, len(pair))) >= shared - 1]
+        p, q = np.concatenate([p, pair[enough] // n]), np.concatenate([q, pair[enough] % n])
     ok = allowed(p, q)
     p, q = p[ok], q[ok]
     count, least = np.zeros(len(p), dtype=np.int64), np.full(len(p), _NO_PIVOT, dtype=np.int64)
@@ -165,7 +168,6 @@ def _candidates(starts: np.ndarray, list_of: np.ndarray, own: np.ndarray, allowe
 
 def _search(classes: DataFrame, total: int, pivots: dict[int, np.ndarray], threshold: float, prefix: int, shared: int, shift: int, block: int) -> DataFrame:
     """Partial sums ``(node, links, root)`` over the inverted lists."""
-    fewest = min((len(p) for p in pivots.values()), default=0)
     shared = min(shared, prefix)
 
     @lean
@@ -193,7 +195,7 @@ def _search(classes: DataFrame, total: int, pivots: dict[int, np.ndarray], thres
                 continue
             own = np.frombuffer(b"".join(t.column("pivots").to_pylist()), "<i4").reshape(t.num_rows, prefix).astype(np.int64)
             b, same = t.column("b").to_numpy(), t.column("bi").to_numpy() == t.column("bj").to_numpy()
-            p, q = _candidates(starts, t.column("k").to_numpy() & _NO_PIVOT, own, lambda x, y: same[x] | (b[x] != b[y]), shared if fewest >= prefix else 1, shift)  # noqa: B023
+            p, q = _candidates(starts, t.column("k").to_numpy() & _NO_PIVOT, own, lambda x, y: same[x] | (b[x] != b[y]), shared, shift)  # noqa: B023
             if len(p):
                 yield t, p, q, np.unique(np.concatenate([p, q]))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -14,6 +13,8 @@ from functools import wraps
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import shared_dir
+
 _WRITTEN: dict[str, list[str]] = {}
 _OWNER = [""]
 _FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -24,17 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. In local mode alone, one in /tmp where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def _hadoop(spark: SparkSession, path: str) -> tuple:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import deal, for_each_piece, hot_keys, whole_runs
 from .common import discard, lean, materialize, text_batches
@@ -415,21 +416,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``keep="none"`` every byte of a window that also starts anywhere else goes, first copies
     included. With ``keep="first"`` the copy with the smallest (id, position) stays whole, and
     cuts keep to character boundaries; of equal texts the one with the smallest id is first
-    (rows that also share the id count as one). Windows are judged on the input. Ids must be
-    integers; null sorts first. Other columns stay; the four new ones replace columns of those
+    (rows that also share the id count as one). Windows are judged on the input. Ids that aren't
+    integers are ordered by a hash; null sorts first. Other columns stay; the four new ones replace columns of those
     names. Texts under ``length`` bytes are left alone.
     """
     if keep not in ("first", "none") or not gram < length < 256 + gram:
         raise ValueError("keep is first or none, and gram < length < gram + 256")
     text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own_id = F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, T.IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
     named = docs.drop("kept", "n_bytes", "n_removed", "spans")
-    rows = docs.select(F.struct(*[F.col(c) for c in named.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), text.alias("__text")).withColumn("t1", F.xxhash64("__text")).withColumn("t2", F.xxhash64(F.lit("second"), "__text"))
+    rows = docs.select(F.struct(*[F.col(c) for c in named.columns]).alias("__row"), own_id.alias("__id"), text.alias("__text")).withColumn("t1", F.xxhash64("__text")).withColumn("t2", F.xxhash64(F.lit("second"), "__text"))
     narrow = rows.select(F.col("__id").alias("id"), F.col("__text").alias("text"), "t1", "t2")
     marks, copies = repeats(narrow, length, gram)
     joined = deal(rows, copies, ["t1", "t2"], ["__id"]).join(marks, ["t1", "t2", "__s"], "left").select("__row", "__id", "__text", "first_id", "marks")
-    from pyspark.sql import types as T
-
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("__row", named.schema), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)])
 

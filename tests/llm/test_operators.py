@@ -117,6 +117,30 @@ def test_packing_balances_cost():
     assert np.std(full) / np.mean(full) < 0.1
 
 
+@given(st.lists(st.integers(1, 300), max_size=60), st.sampled_from([16, 64]))
+@settings(max_examples=150, deadline=None)
+def test_packing_assignment_by_hand(lengths, seq_len):
+    got = packing.pack_lengths(np.array(lengths, dtype=np.int64), seq_len, 1.0, 1 / seq_len)
+    want, rest = [], []
+    for d, n in enumerate(lengths):
+        for k in range(n // seq_len):
+            want.append((d, k * seq_len, seq_len, len(want), 0))
+        if n % seq_len:
+            rest.append([d, n // seq_len * seq_len, n % seq_len])
+    first, total = len(want), sum(r[2] for r in rest)
+    open_ = [{"size": seq_len, "used": 0, "cost": 0.0} for _ in range(total // seq_len)] + [{"size": 2**b, "used": 0, "cost": 0.0} for b in range(20, -1, -1) if total % seq_len >> b & 1]
+    for d, at, n in sorted(rest, key=lambda r: (-r[2], r[0])):  # descending, each to the cheapest sequence with room
+        while n:
+            room = [(s["cost"], i) for i, s in enumerate(open_) if s["size"] - s["used"] >= n]
+            i = min(room)[1] if room else max(range(len(open_)), key=lambda i: (open_[i]["size"] - open_[i]["used"], -i))
+            s = open_[i]
+            take = min(n, s["size"] - s["used"])
+            want.append((d, at, take, first + i, s["used"]))
+            s["used"], s["cost"] = s["used"] + take, s["cost"] + take + take * take / seq_len
+            at, n = at + take, n - take
+    assert sorted(map(tuple, got)) == sorted(want) and all(s["used"] == s["size"] for s in open_)
+
+
 def test_packing_nothing(spark):
     assert packing.pack(documents(spark, []), VOCABULARY).count() == 0
 
@@ -163,6 +187,20 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.score(documents(spark, []), model).count() == 0
 
 
+@given(st.lists(st.sampled_from(["badword", "badly", "abad", "BADWORD", "good", "x", "unbadword", "sobad", ",", "!!!!", "shut up"]), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_votes_by_hand(parts):
+    text = " ".join(parts)
+    entries = ["=badword", "^badw", "$word", "=x", "$sobad", "^sob"]
+    voters = toxicity.Voters(toxicity.Model({e: i for i, e in enumerate(entries)}, list(toxicity.PATTERNS)))
+    found = [w for w in text.lower().replace(",", " ").replace("!", " ").split()]
+    fits = {"=": lambda w, e: w == e, "^": lambda w, e: w.startswith(e) and w != e, "$": lambda w, e: w.endswith(e) and w != e}
+    each = [sum(fits[e[0]](w, e[1:]) for w in found) for e in entries]
+    votes, total, n = voters.hits(text)
+    assert votes[: len(entries)].tolist() == [int(k > 0) for k in each] and total == sum(each) and n == len(found)
+    assert votes[len(entries) :].tolist() == [int(bool(p.search(text))) for p in toxicity.PATTERNS.values()]
+
+
 def test_label_model_discounts_copies_of_a_voter():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
@@ -271,8 +309,10 @@ def test_simhash_finds_every_link(spark, block):
         assert int.from_bytes(r.fp, "big") == fps[r.doc_id] and r.component_id == roots[r.doc_id]
 
 
-@pytest.mark.parametrize("block", [16, 1024])
-def test_pigeonring_misses_nothing(spark, block):
+@pytest.mark.parametrize(("block", "share", "short"), [(16, 1000, 1 << 26), (16, 5, 0), (1024, 1000, 0)])
+def test_pigeonring_misses_nothing(spark, monkeypatch, block, share, short):
+    monkeypatch.setattr(blocks, "SHARE", share)
+    monkeypatch.setattr(simhash, "_SHORT", short)
     rng = random.Random(9)
     fps = {rng.getrandbits(64) for _ in range(60)}
     for f in list(fps):
@@ -281,7 +321,7 @@ def test_pigeonring_misses_nothing(spark, block):
     fps |= {1 << a | 1 << b for a in range(3) for b in range(20, 40)}  # one hot group
     signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
     frame = spark.createDataFrame([(signed[f], bytearray(f.to_bytes(8, "big"))) for f in fps], "node long, fp binary")
-    edges = [(r.src, r.dst) for r in simhash.links(frame, 1, 3, None, block).collect()]
+    edges = [(r.src, r.dst) for r in simhash.links(frame, 1, 3, None, block, len(fps)).collect()]
     every = sorted(fps)
     want = reach(signed.values(), [(signed[a], signed[b]) for i, a in enumerate(every) for b in every[i + 1 :] if (a ^ b).bit_count() <= 3])
     assert reach(signed.values(), edges) == want
@@ -374,6 +414,30 @@ def test_sharding(spark):
     assert sharding.shard_documents(documents(spark, [])).count() == 0
 
 
+def test_draws_by_hand(spark):
+    import math
+    import struct
+
+    def draw(key, level, weights):
+        def score(node, weight):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", node), xxhash.xxh64_intdigest(level.encode(), xxhash.xxh64_intdigest(key.encode(), 42)))
+            return -weight / math.log(((h >> 11) + 0.5) * 2.0**-53)
+
+        return max(weights, key=lambda n: (score(n, weights[n]), -n))
+
+    leaves = [sharding.Leaf(x.region, x.rack, x.shard, 1.0 + x.shard % 3) for x in sharding.topology(16)]
+    got = {r.id: r.shard for r in sharding.assign(spark.range(300), "id", leaves).collect()}
+    for i, shard in got.items():
+        key, below = str(i), leaves
+        for level in ("region", "rack", "shard"):
+            weights = defaultdict(float)
+            for x in below:
+                weights[getattr(x, level)] += x.weight
+            node = draw(key, level, weights)
+            below = [x for x in below if getattr(x, level) == node]
+        assert below[0].shard == shard
+
+
 def test_slots_of_rows_that_are_mostly_equal(spark, monkeypatch):
     monkeypatch.setattr(blocks, "SHARE", 10)
     rows = [(7, "same")] * 300 + [(i, f"t{i}") for i in range(200)] + [(None, None)] * 90
@@ -582,6 +646,17 @@ def test_repeats_with_null_ids_and_hot_groups(spark, monkeypatch, share):
     assert sorted((r.doc_id is None, r.doc_id or 0, bytes(r.kept), r.n_removed, len(r.spans)) for r in got) == sorted((i is None, i or 0, *w) for (i, _), w in zip(rows, want, strict=True))
 
 
+def test_repeats_with_text_ids_and_clashing_columns(spark):
+    rng = random.Random(12)
+    p = words(rng, 60)
+    rows = [("a", f"{words(rng, 9)} {p}", 1), ("b", f"{p} {words(rng, 9)}", 2), (None, "", 3)]
+    frame = spark.createDataFrame(rows, "t1 string, __text string, __row int")
+    got = suffix.remove_repeats(frame, id_col="t1", text_col="__text", keep="none")
+    assert got.columns == [*frame.columns, "kept", "n_bytes", "n_removed", "spans"]
+    want = cut_bytes([t for _, t, _ in rows], 200)
+    assert sorted((r["__row"], r.t1, bytes(r.kept), r.n_removed) for r in got.collect()) == sorted((k, i, w[0], w[1]) for (i, _, k), w in zip(rows, want, strict=True))
+
+
 def test_long_text_over_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix, "_PIECE", 1 << 12)
     monkeypatch.setattr(suffix, "_LOW", np.uint64((1 << 12) - 1))
@@ -665,6 +740,17 @@ def test_extracts_article(html, text):
     assert htmltext.extract_text(html) == text
 
 
+@given(st.lists(st.floats(0, 500), min_size=1, max_size=30), st.sampled_from([0.5, 1.0, 2.0]))
+@settings(max_examples=100, deadline=None)
+def test_smoothing_by_hand(values, sigma):
+    import math
+
+    r = math.ceil(3 * sigma)
+    weight = {d: math.exp(-d * d / (2 * sigma * sigma)) for d in range(-r, r + 1)}
+    want = [sum(w * values[min(max(i + d, 0), len(values) - 1)] for d, w in weight.items()) / sum(weight.values()) for i in range(len(values))]
+    assert np.allclose(htmltext.smooth(np.array(values), sigma), want)
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [

@@ -5,8 +5,8 @@ has an anchor that depends on nothing but its own bytes (the least hashed ``gram
 so equal windows have equal anchors and meet in the group of that anchor. An anchor owns a
 short run of windows, its context. Contexts with equal bytes (by two 64-bit hashes, of the
 anchor and of all bytes) are one; the suffixes of the different contexts of a group are
-sorted, and their longest previous factors tell which windows repeat. A group of too many
-contexts for one task is divided by a second anchor, and so on.
+sorted, and their longest previous factors tell which windows repeat. In a group of too many
+contexts for one task each window is a context of its own.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ from .common import discard, lean, materialize, text_batches
 
 _PIECE = 1 << 20  # bytes hashed at once; positions in a piece fit in the low bits of a value
 _LOW = np.uint64(_PIECE - 1)
-_NONE = np.uint64((1 << 64) - 1)
 _FACTOR = 0x9E3779B97F4A7C15 | 1
-#: A group with more different contexts than this (about 300 bytes each) is divided before its suffixes are sorted.
+#: A group with more different contexts than this (about 300 bytes each) is too much for one task to sort.
 HOT = 8192
 
 
@@ -59,13 +58,11 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors_of(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, gram: int, above: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def anchors_of(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Anchors of the windows of ``length`` bytes in segments [begin, end) of a piece.
 
     Returns segment, anchor position, first window, number of windows, hash of the gram, hash
-    of the context (all bytes of the windows, and where the anchor lies in them). With
-    ``above``, a value for each byte, only grams are anchors whose hash is over it, low bits
-    apart; a window without any is a context of its own, with the gram hash ``_NONE``.
+    of the context (all bytes of the windows, and where the anchor lies in them).
     """
     none = tuple(np.zeros(0, dtype=np.int64) for _ in range(4)) + tuple(np.zeros(0, dtype=np.uint64) for _ in range(2))
     n = len(data)
@@ -74,8 +71,6 @@ def anchors_of(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: i
     _, _, inverse = _tables()
     p = prefix_hashes(data)
     grams = _mix((p[gram:] - p[:-gram]) * inverse[: n - gram + 1])
-    if above is not None:
-        grams = np.where((grams & ~_LOW) > (above[: len(grams)] & ~_LOW), grams, _NONE)
     least = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
     span, width = length - gram + 1, 1
     while width * 2 <= span:
@@ -304,72 +299,45 @@ def _masks_by_suffixes(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.repartition("g").sortWithinPartitions("g").select("g", "c", "id", "at", "bytes").mapInArrow(run, "g long, c long, repeated binary, later binary")
 
 
-def _divided(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Contexts cut into those of the next anchor of their windows, ``floor`` being the hash of the last one; ``g`` becomes that of both anchors."""
+def _masks_by_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """The same for hot groups, whose windows become contexts of their own: equal ones are those of one hash, counted with sums made before the shuffle."""
 
     @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, inverse = _tables()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
                 parts = batch.column("bytes").to_pylist()
                 size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-                ends = np.cumsum(size)
-                floor, g = (batch.column(x).to_numpy().view(np.uint64) for x in ("floor", "g"))
-                data = b"".join(parts)
-                own, _, first, n, new, c = anchors_of(np.frombuffer(data, np.uint8), ends - size, ends, length, gram, np.repeat(floor, size))
-                stop, off = first + n - 1 + length, first - (ends - size)[own]
-                rows = pa.array(own)
-                moved = [pa.array(batch.column(x).to_numpy()[own] + off) for x in ("k", "at")]
-                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(rows) for x in ("pg", "pc", "id")), *moved, pa.array(_mix(g[own] ^ _mix(new)).view(np.int64)), pa.array(c.view(np.int64)), pa.array(new.view(np.int64)), pa.array([data[a:b] for a, b in zip(first, stop, strict=True)], pa.binary())], names=["pg", "pc", "id", "k", "at", "g", "c", "floor", "bytes"])
-
-    return contexts.select("pg", "pc", "id", "k", "at", "g", "c", "floor", "bytes").mapInArrow(run, "pg long, pc long, id long, k long, at long, g long, c long, floor long, bytes binary")
-
-
-def _masks_of_hot_groups(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for groups that are too much for one task: divided by further anchors until none is, then joined again."""
-    level = contexts.select(F.col("g").alias("pg"), F.col("c").alias("pc"), "id", F.lit(0).cast("long").alias("k"), "at", "g", "c", F.col("g").alias("floor"), "bytes")
-    marks = []
-    while not level.isEmpty():
-        parts = materialize(_divided(level, length, gram), "parts")
-        first = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("i"), "at", "pg", "pc", "k")
-        classes = materialize(parts.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(first).alias("rep")), "part-classes")
-        groups = materialize(classes.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "part-groups")
-        hot = hot_keys(classes, ["g", "c"], "n", parts.count())
-        whole = deal(parts, hot, ["g", "c"], ["pg", "pc", "k"]).join(for_each_piece(classes, hot, ["g", "c"]), ["g", "c", "__s"]).drop("__s")
-        whole = materialize(whole.withColumn("first", first == F.col("rep")).drop("rep"), "part-marks")
-        marks.append(whole.where("n > 1").select("pg", "pc", "k", (F.octet_length("bytes") - length + 1).alias("size"), F.lit(True).alias("many"), "first", F.lit(None).cast("binary").alias("repeated"), F.lit(None).cast("binary").alias("later")))
-        one = whole.where("first")
-        hot = hot_keys(groups, ["g"], "m", classes.count())
-        one = materialize(deal(one, hot, ["g"], ["c"]).join(for_each_piece(groups, hot, ["g"]), ["g", "__s"]).drop("__s"), "part-contexts")
-        wide = (F.col("m") > HOT) & (F.col("floor") != -1)  # windows without a further anchor are few
-        bits = _masks_by_suffixes(one.where(~wide), length).withColumnRenamed("g", "__g").withColumnRenamed("c", "__c")
-        mixed = one.where(~wide).join(bits, (F.col("g") == F.col("__g")) & (F.col("c") == F.col("__c")))
-        marks.append(mixed.select("pg", "pc", "k", (F.octet_length("bytes") - length + 1).alias("size"), F.lit(False).alias("many"), F.lit(True).alias("first"), "repeated", "later"))
-        level = one.where(wide)
+                p, count = prefix_hashes(np.frombuffer(b"".join(parts), np.uint8)), size - length + 1
+                row = np.repeat(np.arange(len(parts)), count)
+                k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                begin = (np.cumsum(size) - size)[row] + k
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(rows) for x in ("g", "c", "id")), pa.array(batch.column("at").to_numpy()[row] + k), pa.array(k), pa.array(_mix((p[begin + length] - p[begin]) * inverse[begin]).view(np.int64))], names=["g", "c", "id", "at", "k", "h"])
 
     @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[bytes]] = [[], []]
-            for n, w in zip(batch.column("size").to_pylist(), batch.column("w").to_pylist(), strict=True):
-                bits = {"repeated": np.zeros(n, dtype=bool), "later": np.zeros(n, dtype=bool)}
-                for x in w or []:
-                    for name, all_of_it in (("repeated", x["many"]), ("later", not x["first"])):
-                        own = np.ones(x["size"], dtype=bool) if all_of_it else np.unpackbits(np.frombuffer(x[name] or b"\0" * 32, np.uint8))[: x["size"]].astype(bool)
-                        bits[name][x["k"] : x["k"] + x["size"]] |= own
-                for to, x in zip(out, bits.values(), strict=True):
-                    to.append(np.packbits(x).tobytes())
+            for w in batch.column("w").to_pylist():
+                n = max(x["k"] for x in w) + 1
+                for name, to in zip(("repeated", "later"), out, strict=True):
+                    bits = np.zeros(n, dtype=bool)
+                    bits[[x["k"] for x in w if x[name]]] = True
+                    to.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("c"), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["g", "c", "repeated", "later"])
 
-    if not marks:
-        return contexts.select("g", "c", F.col("bytes").alias("repeated"), F.col("bytes").alias("later"))  # there are none
-    every = marks[0]
-    for x in marks[1:]:
-        every = every.union(x)
-    found = every.groupBy("pg", "pc").agg(F.collect_list(F.struct("k", "size", "many", "first", "repeated", "later")).alias("w"))
-    sized = contexts.select("g", "c", (F.octet_length("bytes") - length + 1).alias("size")).distinct()
-    return sized.join(found, (F.col("g") == F.col("pg")) & (F.col("c") == F.col("pc")), "left").select("g", "c", "size", "w").mapInArrow(pack, "g long, c long, repeated binary, later binary")
+    every = contexts.select("g", "c", "id", "at", "bytes").mapInArrow(windows, "g long, c long, id long, at long, k long, h long")
+    place = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "at")
+    classes = every.groupBy("g", "h").agg((F.min("c") != F.max("c")).alias("repeated"), F.min(place).alias("first"), F.count("*").alias("r")).where("repeated")
+    classes = materialize(classes, "window-classes")
+    hot = hot_keys(classes, ["g", "h"], "r", classes.agg(F.sum("r")).first()[0] or 0)
+    judged = deal(every, hot, ["g", "h"], ["c"]).join(for_each_piece(classes.drop("r"), hot, ["g", "h"]), ["g", "h", "__s"], "left")
+    again = F.coalesce("repeated", F.lit(False))
+    judged = judged.select("g", "c", F.struct("k", again.alias("repeated"), (again & F.coalesce(place > F.col("first"), F.lit(False))).alias("later")).alias("w"))
+    return judged.groupBy("g", "c").agg(F.collect_list("w").alias("w")).mapInArrow(pack, "g long, c long, repeated binary, later binary")
 
 
 def repeats(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
@@ -396,7 +364,7 @@ def repeats(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFra
     wanted = materialize(wanted, "wanted")
     found = materialize(_contexts(docs, wanted, length).withColumn("at", F.shiftright("pk", 16) - F.shiftright("pk", 8).bitwiseAND(255)), "context-bytes")
     discard(wanted)
-    masks = _masks_by_suffixes(found.where(F.col("m") <= HOT), length).union(_masks_of_hot_groups(found.where(F.col("m") > HOT), length, gram))
+    masks = _masks_by_suffixes(found.where(F.col("m") <= HOT), length).union(_masks_by_windows(found.where(F.col("m") > HOT), length))
     known = materialize(contexts.join(masks, ["g", "c"], "left").where("n > 1 or repeated is not null"), "masks")
     discard(found, mixed)
     hot = hot_keys(contexts, ["g", "c"], "r", places.count())

@@ -40,12 +40,12 @@ def for_each_piece(side: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
     return side.join(F.broadcast(hot), on, "left").withColumn("__s", F.explode(pieces)).drop("__p")
 
 
-def hot_join(rows: DataFrame, side: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+def hot_join(rows: DataFrame, side: DataFrame, on: list[str], by: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined with ``side`` (one row per key, no other columns in common); rows of a hot key are dealt to pieces by a hash of ``by`` first.
 
-    ``rows`` is read three times, so write it before.
+    ``rows`` is read three times, so write it before; ``total`` is how many there are, about, counted unless given.
     """
-    hot = hot_keys(rows.groupBy(*on).agg(F.count("*").alias("__r")), on, "__r", rows.count())
+    hot = hot_keys(rows.groupBy(*on).agg(F.count("*").alias("__r")), on, "__r", rows.count() if total is None else total)
     return deal(rows, hot, on, by).join(for_each_piece(side, hot, on), [*on, "__s"], how).drop("__s")
 
 

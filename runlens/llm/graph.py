@@ -45,10 +45,10 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         seen = now
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = hot_join(both.where("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = hot_join(both.where("v > u"), least, ["u"], ["v"], total=now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "stars")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = hot_join(large, low, ["u"], ["v"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = hot_join(large, low, ["u"], ["v"], total=now[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         before, e = e, materialize(small, "links")
         discard(before, large)
     else:

@@ -1,4 +1,4 @@
-"""SimHash near-dedup (4): fingerprints over word shingles, linked through a pigeonring filter or by exact Jaccard."""
+"""SimHash near-dedup (4): fingerprints over word shingles, linked through a pigeonring filter; by exact Jaccard, bands add the pairs too far apart for it."""
 
 from __future__ import annotations
 
@@ -20,6 +20,7 @@ _LANES = np.uint64(0x0101010101010101)
 _BAND = 4  # min-hashes of a band
 _SEGMENT = 4  # bits of a segment of the ring
 _SHORT = 1 << 26  # fingerprints up to which the shorter keys make short buckets
+_RING = 3  # bits of the first 64 within which the ring finds all sets
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -212,6 +213,17 @@ def links(fps: DataFrame, words: int, distance: int, chain: int | None = None, b
     return block_pairs(keys, "k", "node", block, total * per_row).select("k", "bi", "bj", "b", "start", "node", "fp").mapInArrow(compare, "src long, dst long")
 
 
+def ring_candidates(classes: DataFrame, distance: int = _RING, chain: int | None = None, block: int = 1024, total: int = 0) -> DataFrame:
+    """Links ``(src, dst)`` that connect all sets ``classes(node, fp)`` whose first 64 bits differ in at most ``distance``.
+
+    ``links`` over the distinct fingerprints; sets that share one are linked to the first of them. ``classes`` is read more than once, so write it before.
+    """
+    of_fp = classes.select("node", F.substring("fp", 1, 8).alias("fp"))
+    least = materialize(of_fp.groupBy("fp").agg(F.min("node").alias("least")), "ring")
+    same = hot_join(of_fp, least, ["fp"], ["node"], total=total or None).where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
+    return same.union(links(least.select(F.col("least").alias("node"), "fp"), 1, distance, chain, block, total))
+
+
 def candidates(classes: DataFrame, words: int, similarity: float, block: int = 1024, total: int = 0) -> DataFrame:
     """Links ``(src, dst)`` that connect all sets ``classes(node, fp, bands, size)`` that may have a Jaccard of ``similarity``.
 
@@ -316,7 +328,8 @@ def _grouped(docs: DataFrame, text_col: str = "text", whole: bool = True, shingl
     classes = materialize(classes, "classes")
     total = classes.count()
     if exact:
-        found = _members(components(candidates(classes, words, similarity, block, total * bands)))
+        near = ring_candidates(classes, chain=chain, block=block, total=total).union(candidates(classes, words, similarity, block, total * bands))
+        found = _members(components(near))
         of_row = classes.select("node", "row").join(found, "node")
         texts = rows.select(F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text"))
         met = materialize(texts.join(of_row, "row").select("root", "node", "text"), "candidates")
@@ -334,7 +347,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: ``id_col``, ``fp`` and ``component_id``, the smallest id reachable by links.
 
     By default texts are linked whose distinct five-word shingles have a Jaccard of at least
-    ``similarity`` (0.8): ``candidates`` finds pairs, ``similar`` decides them. With a ``distance``,
+    ``similarity`` (0.8): ``ring_candidates`` finds the pairs of near fingerprints, ``candidates``
+    those further apart, ``similar`` decides them. With a ``distance``,
     fingerprints of ``words`` x 64 bits are linked within so many bits instead (see ``links``).
     Documents of one class (so all exact copies, and all empty and null texts) are linked; only
     classes are compared. Null ids are never a component's id unless it has no other. Repeated

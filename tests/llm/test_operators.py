@@ -361,6 +361,30 @@ def test_near_duplicates_link_exactly_by_jaccard(spark):
         assert all(got[i] in (i, i - i % 2) for i in got)
 
 
+@pytest.mark.parametrize(("block", "share"), [(1024, 1000), (4, 3)])
+def test_ring_finds_near_copies_without_bands_and_jaccard_decides(spark, monkeypatch, block, share):
+    monkeypatch.setattr(blocks, "SHARE", share)
+    monkeypatch.setattr(simhash, "candidates", lambda classes, *_: classes.selectExpr("node src", "node dst").limit(0))
+    rng = random.Random(17)
+    word = lambda: f"u{rng.getrandbits(40)}"
+    rows = []
+    for n, new, tries in ((104, 1, 6), (304, 6, 6), (2000, 1, 12), (54, 7, 1500)):  # new words at the end: the last ones are under 0.8
+        base = [word() for _ in range(n)]
+        made = [" ".join(base), *[" ".join(base[new:] + [word() for _ in range(new)]) for _ in range(tries)]]
+        fp = [int.from_bytes(simhash.fingerprint(t, 5, 1, True), "big") for t in made]
+        near = [t for t, f in zip(made, fp, strict=True) if (f ^ fp[0]).bit_count() <= 3 or tries < 100]
+        rows += [(len(rows) + i, t) for i, t in enumerate(near)]
+    sets, fps = {i: shingle_set(t) for i, t in rows}, {i: int.from_bytes(simhash.fingerprint(t, 5, 1, True), "big") for i, t in rows}
+    pairs = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
+    assert any(j < 0.8 for _, _, j in pairs) and any(fps[a] == fps[b] for a, b, j in pairs) and sum(j >= 0.8 for _, _, j in pairs) > 50
+    want = reach(sets, [(a, b) for a, b, j in pairs if j >= 0.8])
+    most = reach(sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, rows), block=block).collect()}
+    assert all(got[i] == got[want[i]] for i in got) and all(most[got[i]] == most[i] for i in got)
+    assert any(got[a] != got[b] for a, b, j in pairs if j < 0.8)
+    assert {r.doc_id for r in simhash.deduplicate(documents(spark, rows), block=block).collect()} == set(got.values())
+
+
 def test_deduplicate_keeps_unlike_documents_of_null_and_repeated_ids(spark):
     rng = random.Random(41)
     text = [" ".join(f"u{rng.getrandbits(40)}" for _ in range(60)) for _ in range(8)]

@@ -17,6 +17,8 @@ from ..sources.scratch import shared_dir
 
 _WRITTEN: dict[str, list[str]] = {}
 _OWNER = [""]
+#: Rows of a few numbers or short keys that go to one file, where their number is known.
+FILE_ROWS = 1 << 16
 _FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -30,14 +32,16 @@ def _hadoop(spark: SparkSession, path: str) -> tuple:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
 
+    A table of up to ``rows`` narrow rows is written by a task for each FILE_ROWS of them, however many
+    partitions it has: each file costs requests to the store, or processes where that is a local disk.
     The folder goes with ``discard``, with ``release`` of its owner, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     _WRITTEN.setdefault(_OWNER[-1], []).append(path)
     fs, p = _hadoop(spark, path)
     fs.deleteOnExit(p)

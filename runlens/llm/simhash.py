@@ -317,8 +317,8 @@ def _members(roots: DataFrame) -> DataFrame:
     return roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _grouped(docs: DataFrame, text_col: str = "text", whole: bool = True, shingle: int = 5, words: int = 8, distance: int | None = None, similarity: float = 0.8, chain: int | None = 4, distinct: bool = True, block: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """``fingerprints`` of ``docs``, written, and the component of each class with its number of rows, written: ``(__class, __root, __n)``."""
+def _grouped(docs: DataFrame, text_col: str = "text", whole: bool = True, shingle: int = 5, words: int = 8, distance: int | None = None, similarity: float = 0.8, chain: int | None = 4, distinct: bool = True, block: int = 1024) -> tuple[DataFrame, DataFrame, int]:
+    """``fingerprints`` of ``docs``, written, the component of each class with its number of rows, written: ``(__class, __root, __n)``, and the number of classes."""
     exact = distance is None
     bands = math.ceil(math.log(1e-7) / math.log(1 - similarity**_BAND)) if exact and similarity < 1 else int(exact)
     rows = fingerprints(docs, text_col, shingle, words, distinct or exact, bands)
@@ -338,9 +338,9 @@ def _grouped(docs: DataFrame, text_col: str = "text", whole: bool = True, shingl
     else:
         roots = components(links(classes, words, distance, chain, block, total))
     of_class = classes.select("__class", F.col("n").alias("__n"), "node").join(_members(roots), "node", "left").select("__class", F.coalesce("root", "node").alias("__root"), "__n")
-    of_class = materialize(of_class, "roots")
+    of_class = materialize(of_class, "roots", total)
     discard(classes)
-    return rows, of_class
+    return rows, of_class, total
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -354,10 +354,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes are compared. Null ids are never a component's id unless it has no other. Repeated
     rows are repeated. Empty table: no rows.
     """
-    rows, of_class = _grouped(docs.select(id_col, text_col), text_col, False, **how)
-    low = materialize(rows.groupBy("__class").agg(F.min(id_col).alias("rep")).join(of_class, "__class"), "least")
+    rows, of_class, total = _grouped(docs.select(id_col, text_col), text_col, False, **how)
+    low = materialize(rows.groupBy("__class").agg(F.min(id_col).alias("rep")).join(of_class, "__class"), "least", total)
     low = hot_join(low.select("__class", "__root", "__n"), low.groupBy("__root").agg(F.min("rep").alias("component_id")), ["__root"], ["__class"])
-    low = materialize(low.select("__class", "__n", "component_id"), "components")
+    low = materialize(low.select("__class", "__n", "component_id"), "components", total)
     hot = hot_keys(low, ["__class"], "__n", low.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0])
     out = deal(rows, hot, ["__class"], ["__row"]).join(for_each_piece(low.drop("__n"), hot, ["__class"]), ["__class", "__s"])
     return out.select(id_col, F.col("__fp").alias("fp"), "component_id")
@@ -369,9 +369,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are told apart by a key of their own, so ids may be null or repeated.
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that none of the frame's names clashes
-    rows, of_class = _grouped(docs.toDF(*names.values()), names[text_col], **how)
+    rows, of_class, total = _grouped(docs.toDF(*names.values()), names[text_col], **how)
     own, id_col = list(names.values()), names[id_col]
     first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("__row")))
     of_each = rows.groupBy("__class").agg(first.alias("x")).join(of_class, "__class")
-    kept = materialize(of_each.groupBy("__root").agg(F.min("x").alias("x")).select(F.col("x.__row").alias("__row")), "kept")
+    kept = materialize(of_each.groupBy("__root").agg(F.min("x").alias("x")).select(F.col("x.__row").alias("__row")), "kept", total)
     return rows.join(kept, "__row", "left_semi").select(*own).toDF(*docs.columns)

@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from runlens.llm import blocks, chat, decontam, embeddings, graph, htmltext, packing, sharding, simhash, suffix, toxicity, urlfilter
+from runlens.llm import blocks, chat, common, decontam, embeddings, graph, htmltext, packing, sharding, simhash, suffix, toxicity, urlfilter
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -417,6 +417,33 @@ def test_components(spark):
         assert all(got.get(n, n) == want[n] for n in range(400))
 
 
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    written = []
+
+    def seen(df, tag, rows=None):
+        out = common.materialize(df, tag, rows)
+        written.append((tag, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(graph, "materialize", seen)
+    links = [(i, i + 1) for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = graph.components(spark.createDataFrame(links, "src long, dst long"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.node: r.root for r in got.collect()} == {n: 0 for n in range(1, 301)}
+    assert len(written) > 3 and all(files == 1 for _, files in written[1:])
+
+
+def test_written_tables_have_a_file_for_each_share_of_their_rows(spark):
+    frame = spark.range(0, 1000, 1, 8)
+    for rows, files in ((None, 8), (0, 1), (1, 1), (common.FILE_ROWS, 1), (common.FILE_ROWS + 1, 2), (9 * common.FILE_ROWS, 8)):
+        out = common.materialize(frame, "files", rows)
+        assert len(out.inputFiles()) == files and out.agg(F.sum("id"), F.count("*")).first() == (499500, 1000)
+        common.discard(out)
+
+
 # -- sharding ----------------------------------------------------------------------------------
 
 
